@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quantloom.llm import packing, token_files, tokens
+from quantloom.llm import packing, simhash, token_files, tokens, toxicity
 from quantloom.llm.common import table
 
 
@@ -14,9 +15,21 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), held_out=True))
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    return found.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.default_path(), end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_toxicity, op6_simhash_near_dedup, op9_best_fit_packing)}
 ORACLES: dict[str, str] = {}

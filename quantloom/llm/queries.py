@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import packing, simhash, token_files, tokens, toxicity
+from quantloom.llm import packing, pii, simhash, token_files, tokens, toxicity
 from quantloom.llm.common import table
 
 
@@ -27,9 +27,13 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.default_path(), end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_toxicity, op6_simhash_near_dedup, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_toxicity, op6_simhash_near_dedup, op8_pii, op9_best_fit_packing)}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import packing, pii, simhash, token_files, tokens, toxicity
+from quantloom.llm import ann, packing, pii, simhash, token_files, tokens, toxicity
 from quantloom.llm.common import table
 
 
@@ -35,5 +35,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.default_path(), end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_toxicity, op6_simhash_near_dedup, op8_pii, op9_best_fit_packing)}
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), queries="vec_id % 20 = 0", k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_toxicity, op6_simhash_near_dedup, op8_pii, op9_best_fit_packing, op10_nearest_neighbours)}
 ORACLES: dict[str, str] = {}

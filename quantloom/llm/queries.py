@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import ann, packing, pii, simhash, token_files, tokens, toxicity
+from quantloom.llm import ann, packing, pii, sentencepiece_fst, simhash, token_files, tokens, toxicity
 from quantloom.llm.common import table
 
 
@@ -15,6 +15,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_fst.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), held_out=True))
@@ -39,5 +45,5 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), queries="vec_id % 20 = 0", k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_toxicity, op6_simhash_near_dedup, op8_pii, op9_best_fit_packing, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_sentencepiece, op4_toxicity, op6_simhash_near_dedup, op8_pii, op9_best_fit_packing, op10_nearest_neighbours)}
 ORACLES: dict[str, str] = {}

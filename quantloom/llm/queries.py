@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import ann, packing, pii, sentencepiece_fst, simhash, token_files, tokens, toxicity
+from quantloom.llm import ann, fingerprints, packing, pii, sentencepiece_fst, simhash, token_files, tokens, toxicity
 from quantloom.llm.common import table
 
 
@@ -15,6 +15,17 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), 1024)
+    found = fingerprints.compare_with_next(table(spark, sf_dir, "documents"), buckets)
+    a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256",
+        fingerprints.as_text(a).alias("fingerprint"), fingerprints.as_text(b).alias("edited_fingerprint"),
+        fingerprints.resemblance(a, b).alias("near_edited"), fingerprints.resemblance(a, c).alias("near_next"),
+    )
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,5 +56,5 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), queries="vec_id % 20 = 0", k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_sentencepiece, op4_toxicity, op6_simhash_near_dedup, op8_pii, op9_best_fit_packing, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_sentencepiece, op4_toxicity, op6_simhash_near_dedup, op8_pii, op9_best_fit_packing, op10_nearest_neighbours)}
 ORACLES: dict[str, str] = {}

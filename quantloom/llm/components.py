@@ -9,7 +9,7 @@ from quantloom.llm.common import cut
 
 
 def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a") / F.lit(2**32))).first())
+    return tuple(links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b", "a").cast("long"))).first())
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:

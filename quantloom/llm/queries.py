@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import ann, chat, fingerprints, packing, pii, sentencepiece_fst, simhash, token_files, tokens, toxicity
+from quantloom.llm import ann, chat, fingerprints, line_dedup, packing, pii, sentencepiece_fst, simhash, token_files, tokens, toxicity
 from quantloom.llm.common import table
 
 
@@ -39,6 +39,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), removed="removed")
+    text = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -71,7 +77,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), queries="vec_id % 20 = 0", k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_sentencepiece, op4_toxicity, op6_simhash_near_dedup, op7_chat_formatting, op8_pii, op9_best_fit_packing, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_sentencepiece, op4_toxicity, op5_line_dedup, op6_simhash_near_dedup, op7_chat_formatting, op8_pii, op9_best_fit_packing, op10_nearest_neighbours)}
 ORACLES: dict[str, str] = {
     "op7_chat_formatting": r"""
         WITH rows AS (

@@ -244,9 +244,9 @@ def sanitise(docs: DataFrame, generalise: float = 0.75, remove: float = 0.95, mi
     """``docs`` with personal data and what discloses it taken out of ``text``; null texts stay null. Only rows that hold
     disclosing terms take part in the join that brings these to their texts."""
     found = find_personal_data(docs, generalise, min_support).filter(F.size("terms") > 0)
-    terms = found.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("terms").alias("_terms")).dropDuplicates(["_id", "_h"])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of()) == F.col("_h"))
-    joined = docs.join(terms, same, "left").select(*docs.columns, "_terms")
+    terms = found.select(F.col("doc_id").alias("__ql_id"), F.col("h").alias("__ql_h"), F.col("terms").alias("__ql_terms")).dropDuplicates(["__ql_id", "__ql_h"])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__ql_id")) & (F.xxhash64(text_of()) == F.col("__ql_h"))
+    joined = docs.join(terms, same, "left").select(*docs.columns, "__ql_terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -101,12 +101,13 @@ def solve_configurations(size: np.ndarray, demand: np.ndarray, capacity: int, ro
     return sorted(((c, n / scale) for c, n in used.values()), key=lambda x: -x[1])
 
 
-def plan(histogram: dict[int, int], capacity: int = 4096, classes: int = 128, unit: int = 8, rounds: int = 1000) -> np.ndarray:
+def plan(histogram: dict[int, int], capacity: int = 4096, classes: int = 128, units: int = 512, rounds: int = 1000) -> np.ndarray:
     """Slots ``length, first, n, sequence, offset`` that place every piece of a length histogram.
 
-    The program knows sizes in steps of ``unit`` tokens, rounded up, and leaves lengths of under a 32nd of the
-    capacity to best fit.
+    The program knows sizes in steps of a share of the capacity, one in ``units``, rounded up, and leaves lengths of
+    under a 32nd of the capacity to best fit.
     """
+    unit = max(1, capacity // units)
     lengths = np.array(sorted(histogram), dtype=np.int64)
     left = np.array([histogram[x] for x in lengths], dtype=np.int64)
     taken, slots, sequence = np.zeros(len(lengths), dtype=np.int64), [], 0

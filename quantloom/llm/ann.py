@@ -200,7 +200,7 @@ def _search_block(k: int):
     return run
 
 
-def search(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, probes: int = 16, mass: float = 0.995, router: Router | None | str = "fit") -> DataFrame:
+def search(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, probes: int = 16, mass: float = 0.997, router: Router | None | str = "fit") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that the SQL condition ``queries`` picks, the ``k`` nearest others found."""
     rows = cut(usable(vectors))
     smallest = F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids")

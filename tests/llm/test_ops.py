@@ -229,6 +229,13 @@ def test_line_dedup_equals_brute_force(spark, docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_documents_with_a_rest_are_not_dropped(spark):
+    rests = {2: "abc", 3: "привет мир", 4: "42", 5: "!!!", 6: ""}
+    df = spark.createDataFrame([(1, prose(1)), *((d, prose(1) + "\n" + x) for d, x in rests.items())], "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, drop_empty=True).collect()}
+    assert kept == {1: prose(1), 2: "abc", 3: "привет мир", 4: "42"}
+
+
 # --- 6: SimHash
 
 

@@ -1,11 +1,14 @@
 """PII (operator 8): patterns for direct identifiers, and information-theoretic sanitisation of what reveals them.
 
-Emails, IP addresses, card and phone numbers are the protected entities. Around each of them, terms are
+Emails, IP addresses, card and phone numbers are the protected entities. The terms of their documents are
 weighed by how much they disclose: with p(x) the share of the corpus' documents that hold x, a term t discloses the entity
 e by its pointwise mutual information PMI(t, e) = log2(p(t, e) / (p(t) p(e))), of at most the entity's own information
-IC(e) = -log2 p(e). Terms with PMI of at least ``generalise`` times IC are replaced by their general class, and from
+IC(e) = -log2 p(e). Terms are weighed over the whole document, however far from the entity. Terms with PMI of at least ``generalise`` times IC are replaced by their general class, and from
 ``remove`` times IC on they are removed. Only pairs that ``min_support`` different contexts show count, so one document, or
-copies of it, prove nothing. Terms are judged where they stand near the entity; all counts are over all documents.
+copies of it, prove nothing. A context is a document's terms in order. All counts are over all rows, and a term that
+discloses an entity is hidden wherever it stands, also in documents without the entity.
+
+A term is a run of three letters or more, in lower case, that overlaps no base span.
 
 Base patterns take the leftmost non-overlapping matches of their kind and drop those that fail their check, with no retry:
 
@@ -28,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import batches_of, cut, text_of
+from quantloom.llm.line_dedup import _held as held_in
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,10 +45,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
 NOT_DIGIT = re.compile(r"[^0-9]")
-#: Characters on either side of an entity in which terms are weighed.
-REACH = 60
-#: Slots of the filter of candidate terms; its size does not grow with the corpus.
-SLOTS = 1 << 18
+#: Slots of the filters of terms; their size does not grow with the corpus.
+SLOTS = 1 << 20
 
 Span = tuple[str, int, int]
 
@@ -102,50 +104,77 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{NOT_DIGIT.sub('', value)}"
 
 
-def context(text: str, spans: list[Span]) -> list[tuple[str, str, int, int]]:
-    """``(entity, term, start, end)`` for the terms near each span that overlap no span."""
-    found = []
-    for kind, a, b in spans:
-        low, high = max(0, a - REACH), min(len(text), b + REACH)
-        name = entity(kind, text[a:b])
-        for m in TERM.finditer(text, low, high):
-            s, e = m.span()
-            whole = (s > low or s == 0 or not text[s - 1].isalnum()) and (e < high or e == len(text) or not text[e].isalnum())
-            if whole and not any(s < y and x < e for _, x, y in spans if x < high and y > low):
-                found.append((name, m.group().lower(), s, e))
-    return found
+def terms_of(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
+    """``(term, start, end)`` for every term of the whole text; ``spans`` are its base spans, by start."""
+    k, done = 0, 0  # spans before k start before the term, and end at done at the latest
+    for m in TERM.finditer(text):
+        s, e = m.span()
+        while k < len(spans) and spans[k][1] < e:
+            done = max(done, spans[k][2])
+            k += 1
+        if s >= done:
+            yield m.group().lower(), s, e
+
+
+def distinct_terms(text: str, spans: list[Span]) -> set[str]:
+    return {t for t, _, _ in terms_of(text, spans)} if spans else {w.lower() for w in set(TERM.findall(text))}
 
 
-_CONTEXT = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def search(docs: DataFrame) -> DataFrame:
-    """``doc_id, h, spans, entities, context, ctx`` of every whole text: the base spans and the terms near them.
+    """``doc_id, h, spans, entities, terms, ctx`` of every whole text: the base spans and, where there are any, the distinct terms.
 
-    ``h`` is a hash of the text and ``ctx`` one of the terms, by which equal contexts are known.
+    ``h`` is a hash of the text and ``ctx`` one of its terms in order, by which equal contexts are known.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            spans, names, near, ctx = [], [], [], []
+            spans, names, terms, ctx = [], [], [], []
             for text in b.column(2).to_pylist():
                 own = base_spans(text)
-                around = context(text, own) if own else []
+                held = [t for t, _, _ in terms_of(text, own)] if own else []
                 spans.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in own])
                 names.append(sorted({entity(k, text[s:e]) for k, s, e in own}))
-                near.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in around])
-                ctx.append(xxhash.xxh64_intdigest(" ".join(x[1] for x in around)) >> 1)
+                terms.append(sorted(set(held)))
+                ctx.append(xxhash.xxh64_intdigest(" ".join(held)) >> 1)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string())), pa.array(near, _CONTEXT), pa.array(ctx, pa.int64())],
-                ["doc_id", "h", "spans", "entities", "context", "ctx"],
+                [b.column(0), b.column(1), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string())), pa.array(ctx, pa.int64())],
+                ["doc_id", "h", "spans", "entities", "terms", "ctx"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
-    schema = "doc_id long, h long, spans array<struct<kind:string,start:long,end:long>>, entities array<string>, context array<struct<entity:string,term:string,start:long,end:long>>, ctx long"
-    return batches_of(rows).mapInArrow(run, schema)
+    schema = "doc_id long, h long, spans array<struct<kind:string,start:long,end:long>>, entities array<string>, terms array<string>, ctx long"
+    return batches_of(_texts(docs)).mapInArrow(run, schema)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
+
+
+def _slots(terms: DataFrame) -> bytes:
+    """A filter of ``terms (term)``: a byte per slot."""
+    slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int").alias("slot")
+    here = np.zeros(SLOTS, dtype=bool)
+    here[terms.select(slot).distinct().toPandas()["slot"].to_numpy()] = True  # at most SLOTS numbers
+    return here.tobytes()
+
+
+class _Known(dict):
+    """Whether a word can be among the terms of a filter."""
+
+    def __init__(self, held: bytes):
+        import xxhash
+
+        self.held, self.digest = held, xxhash.xxh64_intdigest
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        found = self[word] = bool(self.held[self.digest(word, 42) & (SLOTS - 1)])
+        return found
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -154,25 +183,13 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     Tasks leave out words that cannot be among the terms by a filter of ``SLOTS`` slots, and count before the shuffle;
     the join afterwards is exact.
     """
-    slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int").alias("slot")
-    here = np.zeros(SLOTS, dtype=bool)
-    here[[r["slot"] for r in terms.select(slot).distinct().collect()]] = True  # at most SLOTS rows
-    held = here.tobytes()
+    held = _slots(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest, last, known = xxhash.xxh64_intdigest, SLOTS - 1, {}
-        n: Counter = Counter()
+        known, n = _Known(held), Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
-                for w in set(TERM.findall(text.lower())):
-                    if w not in known:
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[w] = held[digest(w, 42) & last]
-                    if known[w]:
-                        n[w] += 1
+                n.update(w for w in distinct_terms(text, base_spans(text)) if known[w])
             if len(n) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["term", "n"])
                 n.clear()
@@ -182,32 +199,55 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.join(terms, "term", "left_semi")
 
 
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``doc_id, h, term, start, end`` for every place where one of ``terms (term)``, or a word of the same slot, stands."""
+    held = _slots(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(held)
+        for b in batches:
+            out = []
+            for doc_id, h, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if any(known[w.lower()] for w in set(TERM.findall(text))):
+                    out += [(doc_id, h, *x) for x in terms_of(text, base_spans(text)) if known[x[0]]]
+            columns = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "h", "term", "start", "end"])
+
+    return batches_of(_texts(docs)).mapInArrow(run, "doc_id long, h long, term string, start long, end long")
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.75, min_support: int = 3) -> DataFrame:
     """``entity, term, share`` of the pairs whose PMI is at least ``generalise`` of the entity's information."""
-    pairs = found.select("doc_id", "h", "ctx", F.explode("context").alias("c")).select("doc_id", "h", "ctx", "c.entity", "c.term").distinct()
+    entities = found.select("ctx", "terms", F.explode("entities").alias("entity"))
+    counts = cut(entities.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("ctx").alias("contexts")))
+    several = counts.filter(F.col("contexts") >= min_support)  # others have no pair of enough support
+    pairs = entities.filter(held_in(several, ["entity"], ["entity"])).select("entity", "ctx", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("entity", "term").agg(F.count_distinct("ctx").alias("support"), F.count("*").alias("n_both")).filter(F.col("support") >= min_support)
     pairs = cut(pairs)
-    entities = found.select("doc_id", "h", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
     total = float(found.count())
-    both = pairs.join(document_counts(docs, pairs.select("term").distinct()), "term").join(entities, "entity")
+    both = pairs.join(document_counts(docs, pairs.select("term").distinct()), "term").join(several, "entity")
     information = F.greatest(F.log2(F.lit(total) / F.col("n_entity")), F.lit(1e-9))
     shared = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     return cut(both.withColumn("share", shared / information).filter(F.col("share") >= generalise).select("entity", "term", "share"))
 
 
 def find_personal_data(docs: DataFrame, generalise: float = 0.75, min_support: int = 3) -> DataFrame:
-    """``doc_id, h, spans, terms`` for every row: base spans, and ``terms (start, end, share)`` that disclose them."""
+    """``doc_id, h, spans, terms`` for every row: base spans, and ``terms (start, end, share)`` that disclose an entity."""
     found = cut(search(docs))
-    shares = disclosing_terms(docs, found, generalise, min_support)
-    near = found.select("doc_id", "h", F.explode("context").alias("c")).select("doc_id", "h", "c.entity", "c.term", "c.start", "c.end").distinct()
-    near = near.join(shares, ["entity", "term"]).groupBy("doc_id", "h", "start", "end").agg(F.max("share").alias("share"))
-    terms = near.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+    shares = disclosing_terms(docs, found, generalise, min_support).groupBy("term").agg(F.max("share").alias("share"))
+    if shares.isEmpty():
+        return found.select("doc_id", "h", "spans", _no_terms().alias("terms"))
+    places = occurrences(docs, shares.select("term")).join(shares, "term").groupBy("doc_id", "h", "start", "end").agg(F.max("share").alias("share"))
+    terms = places.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
     a, b = found.alias("a"), terms.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h"))
-    none = F.from_json(F.lit("[]"), "array<struct<start:long,end:long,share:double>>")
-    return a.join(b, same, "left").select("a.doc_id", "a.h", "a.spans", F.coalesce("b.terms", none).alias("terms"))
+    return a.join(b, same, "left").select("a.doc_id", "a.h", "a.spans", F.coalesce("b.terms", _no_terms()).alias("terms"))
+
+
+def _no_terms() -> Column:
+    return F.from_json(F.lit("[]"), "array<struct<start:long,end:long,share:double>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

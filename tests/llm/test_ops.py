@@ -327,6 +327,15 @@ def test_terms_that_disclose_are_found_and_hidden(spark, docs, none):
     assert pii.digest(pii.find_personal_data(docs)).count() == docs.count() and pii.sanitise(none).count() == 0
 
 
+def test_terms_are_hidden_wherever_they_stand(spark):
+    far = lambda k: prose(k, 40)
+    rows = [(k, f"z.q@mail.example.com {far(k)}\n\n{far(k + 100)} Zebulon {far(k + 200)} Zebulon") for k in range(4)]
+    df = spark.createDataFrame([*rows, (5, f"{far(5)} Zebulon"), *((k, far(k)) for k in range(10, 60))], "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert all(clean[k] == dict(rows)[k].replace("Zebulon", "[NAME]").replace("z.q@mail.example.com", "[EMAIL]") for k in range(4))
+    assert clean[5] == f"{far(5)} [NAME]" and clean[10] == far(10)
+
+
 # --- 9: packing
 
 

@@ -4,9 +4,15 @@ Emails, IP addresses, card and phone numbers are the protected entities. The ter
 weighed by how much they disclose: with p(x) the share of the corpus' documents that hold x, a term t discloses the entity
 e by its pointwise mutual information PMI(t, e) = log2(p(t, e) / (p(t) p(e))), of at most the entity's own information
 IC(e) = -log2 p(e). Terms are weighed over the whole document, however far from the entity. Terms with PMI of at least ``generalise`` times IC are replaced by their general class, and from
-``remove`` times IC on they are removed. Only pairs that ``min_support`` different contexts show count, so one document, or
-copies of it, prove nothing. A context is a document's terms in order. All counts are over all rows, and a term that
-discloses an entity is hidden wherever it stands, also in documents without the entity.
+``remove`` times IC on they are removed. All counts are over all rows, and a term that discloses an entity is hidden wherever
+it stands, also in documents without the entity.
+
+Any text holds words that stand nowhere else, so a pair must not be chance. Of an entity's contexts (documents; copies
+and near copies, by min-hashes of three terms in turn, are one) the first proposes its terms and the others prove them: with n contexts, k + 1 of which hold the term,
+the expected number of terms that do so by chance, terms(e) times the tail of the hypergeometric law, has to be at most
+``chance``. The tail is bounded by exp(-(n - 1) KL(k / (n - 1), p)), where p is the share of the other documents that
+hold the term. One context thus proves nothing, and two prove a rare term in a large corpus. As most entities are rare, what they
+have in common is weighed likewise: an entity's classes are its mail domain, network, issuer or area, and its kind.
 
 A term is a run of three letters or more, in lower case, that overlaps no base span.
 
@@ -25,9 +31,11 @@ searched too. An empty table gives an empty result. Other columns are ignored, o
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import batches_of, cut, text_of
+from quantloom.llm.components import components
 from quantloom.llm.line_dedup import _held as held_in
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -47,6 +56,10 @@ TERM = re.compile(r"[^\W\d_]{3,}")
 NOT_DIGIT = re.compile(r"[^0-9]")
 #: Slots of the filters of terms; their size does not grow with the corpus.
 SLOTS = 1 << 20
+#: Copies of an entity's counts in the join with its terms.
+SALTS = 32
+#: Odd factors that put hashes in other orders.
+TURNS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 Span = tuple[str, int, int]
 
@@ -104,6 +117,14 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{NOT_DIGIT.sub('', value)}"
 
 
+def classes(name: str) -> list[str]:
+    """An entity and the classes it belongs to: mail domain, first three parts of an address, a card's issuer (six digits), a
+    phone number without its last four digits; and its kind."""
+    kind, value = name.split(":", 1)
+    part = {"email": value.rpartition("@")[2], "ip": value.rpartition(".")[0], "card": value[:6], "phone": value[:-4]}[kind]
+    return [name, f"{kind} of {part}", kind]
+
+
 def terms_of(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
     """``(term, start, end)`` for every term of the whole text; ``spans`` are its base spans, by start."""
     k, done = 0, 0  # spans before k start before the term, and end at done at the latest
@@ -120,33 +141,40 @@ def distinct_terms(text: str, spans: list[Span]) -> set[str]:
     return {t for t, _, _ in terms_of(text, spans)} if spans else {w.lower() for w in set(TERM.findall(text))}
 
 
+def min_hashes(terms: list[str]) -> list[int]:
+    """The least of the hashes of three terms in turn, under each of the ``TURNS``."""
+    import xxhash
+
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(terms[k : k + 3])) for k in range(max(len(terms) - 2, 1))], dtype=np.uint64)
+    return [int((hashes * np.uint64(x)).min() >> np.uint64(1)) for x in TURNS]
+
+
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def search(docs: DataFrame) -> DataFrame:
-    """``doc_id, h, spans, entities, terms, ctx`` of every whole text: the base spans and, where there are any, the distinct terms.
+    """``doc_id, h, spans, entities, terms, marks`` of every whole text: the base spans and, where there are any, their entities
+    with their classes and the distinct terms.
 
-    ``h`` is a hash of the text and ``ctx`` one of its terms in order, by which equal contexts are known.
+    ``h`` is a hash of the text and ``marks`` are min-hashes of its terms in order, by which near copies are known.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in batches:
-            spans, names, terms, ctx = [], [], [], []
+            spans, names, terms, marks = [], [], [], []
             for text in b.column(2).to_pylist():
                 own = base_spans(text)
                 held = [t for t, _, _ in terms_of(text, own)] if own else []
                 spans.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in own])
-                names.append(sorted({entity(k, text[s:e]) for k, s, e in own}))
+                names.append(sorted({c for k, s, e in own for c in classes(entity(k, text[s:e]))}))
                 terms.append(sorted(set(held)))
-                ctx.append(xxhash.xxh64_intdigest(" ".join(held)) >> 1)
+                marks.append(min_hashes(held) if own else [])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string())), pa.array(ctx, pa.int64())],
-                ["doc_id", "h", "spans", "entities", "terms", "ctx"],
+                [b.column(0), b.column(1), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int64()))],
+                ["doc_id", "h", "spans", "entities", "terms", "marks"],
             )
 
-    schema = "doc_id long, h long, spans array<struct<kind:string,start:long,end:long>>, entities array<string>, terms array<string>, ctx long"
+    schema = "doc_id long, h long, spans array<struct<kind:string,start:long,end:long>>, entities array<string>, terms array<string>, marks array<long>"
     return batches_of(_texts(docs)).mapInArrow(run, schema)
 
 
@@ -216,27 +244,43 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return batches_of(_texts(docs)).mapInArrow(run, "doc_id long, h long, term string, start long, end long")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.75, min_support: int = 3) -> DataFrame:
-    """``entity, term, share`` of the pairs whose PMI is at least ``generalise`` of the entity's information."""
-    entities = found.select("ctx", "terms", F.explode("entities").alias("entity"))
-    counts = cut(entities.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("ctx").alias("contexts")))
-    several = counts.filter(F.col("contexts") >= min_support)  # others have no pair of enough support
+def contexts_of(found: DataFrame) -> DataFrame:
+    """``ctx, entities, terms`` of the rows that hold entities; documents that share two min-hashes have one ``ctx``."""
+    rows = found.filter(F.size("entities") > 0).select("entities", "terms", "marks", F.xxhash64("marks").alias("node"))
+    keys = [F.xxhash64(F.lit(f"{i} {j}"), F.col("marks")[i], F.col("marks")[j]) for i, j in combinations(range(len(TURNS)), 2)]
+    keyed = cut(rows.select("node", F.explode(F.array(*keys)).alias("key")).distinct())
+    least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    roots = components(keyed.join(least, "key").select(F.col("node").alias("a"), "b"))
+    return rows.join(roots, "node", "left").select(F.coalesce("root", "node").alias("ctx"), "entities", "terms")
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.75, chance: float = 0.05) -> DataFrame:
+    """``entity, term, share`` of the pairs beyond chance whose PMI is at least ``generalise`` of the entity's information."""
+    entities = cut(contexts_of(found)).select("ctx", "terms", F.explode("entities").alias("entity"))
+    counts = entities.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("ctx").alias("contexts"), F.sum(F.size("terms")).alias("n_proposed"))
+    several = cut(counts.filter("contexts > 1"))  # one context proves nothing
     pairs = entities.filter(held_in(several, ["entity"], ["entity"])).select("entity", "ctx", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count_distinct("ctx").alias("support"), F.count("*").alias("n_both")).filter(F.col("support") >= min_support)
-    pairs = cut(pairs)
+    pairs = cut(pairs.groupBy("entity", "term").agg(F.count_distinct("ctx").alias("support"), F.count("*").alias("n_both")).filter("support > 1"))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
     total = float(found.count())
-    both = pairs.join(document_counts(docs, pairs.select("term").distinct()), "term").join(several, "entity")
+    # a kind has very many terms: its row is copied, so that its pairs need not meet in one task
+    copies = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counted = document_counts(docs, pairs.select("term").distinct())
+    both = pairs.join(counted, "term").withColumn("salt", F.pmod(F.hash("term"), F.lit(SALTS))).join(copies, ["entity", "salt"])
     information = F.greatest(F.log2(F.lit(total) / F.col("n_entity")), F.lit(1e-9))
     shared = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    return cut(both.withColumn("share", shared / information).filter(F.col("share") >= generalise).select("entity", "term", "share"))
+    n, q = F.col("contexts") - 1, (F.col("support") - 1) / (F.col("contexts") - 1)
+    p = (F.col("n_term") - 1) / F.lit(max(total - 1, 1.0))
+    parts = q * F.ln(q / p) + F.when(q < 1, (1 - q) * F.ln((1 - q) / (1 - p))).otherwise(0.0)
+    proven = (q > p) & (F.ln("n_proposed") - n * parts <= F.lit(math.log(chance)))
+    return cut(both.filter(proven).withColumn("share", shared / information).filter(F.col("share") >= generalise).select("entity", "term", "share"))
 
 
-def find_personal_data(docs: DataFrame, generalise: float = 0.75, min_support: int = 3) -> DataFrame:
+def find_personal_data(docs: DataFrame, generalise: float = 0.75, chance: float = 0.05) -> DataFrame:
     """``doc_id, h, spans, terms`` for every row: base spans, and ``terms (start, end, share)`` that disclose an entity."""
     found = cut(search(docs))
-    shares = disclosing_terms(docs, found, generalise, min_support).groupBy("term").agg(F.max("share").alias("share"))
+    shares = disclosing_terms(docs, found, generalise, chance).groupBy("term").agg(F.max("share").alias("share"))
     if shares.isEmpty():
         return found.select("doc_id", "h", "spans", _no_terms().alias("terms"))
     places = occurrences(docs, shares.select("term")).join(shares, "term").groupBy("doc_id", "h", "start", "end").agg(F.max("share").alias("share"))
@@ -280,10 +324,10 @@ def rewrite(text: str, spans: list[Span], terms: list[tuple[int, int, float]], r
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, generalise: float = 0.75, remove: float = 0.95, min_support: int = 3) -> DataFrame:
+def sanitise(docs: DataFrame, generalise: float = 0.75, remove: float = 0.95, chance: float = 0.05) -> DataFrame:
     """``docs`` with personal data and what discloses it taken out of ``text``; null texts stay null. Only rows that hold
     disclosing terms take part in the join that brings these to their texts."""
-    found = find_personal_data(docs, generalise, min_support).filter(F.size("terms") > 0)
+    found = find_personal_data(docs, generalise, chance).filter(F.size("terms") > 0)
     terms = found.select(F.col("doc_id").alias("__ql_id"), F.col("h").alias("__ql_h"), F.col("terms").alias("__ql_terms")).dropDuplicates(["__ql_id", "__ql_h"])
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__ql_id")) & (F.xxhash64(text_of()) == F.col("__ql_h"))
     joined = docs.join(terms, same, "left").select(*docs.columns, "__ql_terms")

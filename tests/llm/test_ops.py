@@ -336,6 +336,19 @@ def test_terms_are_hidden_wherever_they_stand(spark):
     assert clean[5] == f"{far(5)} [NAME]" and clean[10] == far(10)
 
 
+def test_rare_entities_and_classes_prove_terms_beyond_chance(spark):
+    word = lambda k: "".join(chr(97 + int(c)) for c in f"{k:05d}")
+    own = lambda k: " ".join(f"own{word(8 * k + x)}" for x in range(8))
+    texts = {k: f"{own(k)} common" for k in range(600)}
+    texts |= {1: f"{own(1)} Zebulon a.b@one.example", 2: f"A.B@one.example {own(2)} Zebulon", 3: f"{own(3)} Lonely x@lonely.example"}
+    texts |= {k: f"{own(k)} Acme u{k}@acme.example" for k in range(10, 14)} | {599: f"{own(599)} acme"}
+    texts |= {20 + k: f"{own(20)} copied c@copy.example" for k in range(4)}
+    texts |= {30 + k: f"{' '.join(own(300 + x) for x in range(10))} edit{word(k)} nearly n@copy.example" for k in range(4)}
+    found = {r["doc_id"]: r["terms"] for r in pii.find_personal_data(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    held = {k: {texts[k][t["start"] : t["end"]] for t in v} for k, v in found.items() if v}
+    assert held == {1: {"Zebulon"}, 2: {"Zebulon"}, **{k: {"Acme"} for k in range(10, 14)}, 599: {"acme"}}
+
+
 # --- 9: packing
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into a table of the shared folder and go on from that table.
+
+    Lineage ends there, executors can be lost, and the work's shuffle files go as soon as the table is written.
+    """
+    spark, path, clean = df.sparkSession, f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def batches_of(df: DataFrame) -> DataFrame:
     """Have Python see ``df`` in Arrow batches that are bounded in rows and in bytes, however long the texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")

@@ -2,45 +2,51 @@
 
 A bounded sample of the vectors gives a neighbour graph. The graph is divided into parts of balanced size with few
 edges cut, and a small classifier learns the part of a vector from the vector alone. Every vector is indexed
-in its most probable part; a query goes to its most probable parts until ``mass`` of its probability is covered, ``probes``
-parts at most, and the vectors there are ranked by their exact inner product in double precision.
+in its most probable part; a query goes to its most probable parts until a share of its probability is covered, the mass,
+and the vectors there are ranked by their exact inner product in double precision.
+
+The number of parts follows the number of vectors (one for each ``per_part``) up to ``max_parts``. The mass is not guessed: a part of the sample
+that the classifier has not seen asks for its neighbours in that same part, and the mass is the least one by which ``recall``
+of these are found. Vectors with structure thus need few parts, and vectors without need most of them.
 
 Copies of one vector can be very many. They are told apart only by ``vec_id``, so of equal vectors the ``k + 1`` smallest
 ``vec_id`` can be answers and no others: these are kept per distinct vector, which bounds what a hot vector costs, and
-distinct vectors are what parts hold. Parts are searched in blocks of rows, by which a large part is divided over
-tasks.
+distinct vectors are what parts hold. Vectors and queries of a part are packed into blocks of bounded size, and a block of queries meets a
+block of vectors in one row of a join, so no task gathers a whole part on either side.
 
 Cases: null or zero vectors and those that hold null or non-finite components take no part, nor do vectors of another
 length than the most common one, nor rows with a null ``vec_id``. Rows that repeat a ``vec_id`` are candidates like any other; a query is asked
-once per ``vec_id``, with the smallest of its vectors. With too few vectors for parts, all are in one, and the
-search is exact. Ties go to the smaller ``vec_id``. An empty table gives an empty result. Other columns are ignored.
+once per ``vec_id``, with the smallest of its vectors. Fewer vectors than two parts need are one part. Scores are sums of
+products in the order of components, whatever block they are in; where one overflows it is what double arithmetic gives, and
+one that is not a number ranks last, as minus infinity. Ties go to the smaller ``vec_id``. An empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import batches_of, cut
+from quantloom.llm.common import batches_of, saved
 
-#: Rows of a part that are searched in one task at a time.
-BLOCK_ROWS = 4096
+#: Vectors and queries of a block, about.
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
 
 
 @dataclass(frozen=True)
 class Router:
-    """A two-layer classifier from vectors to parts."""
+    """A two-layer classifier from vectors to parts, and the share of a query's probability that its parts have to cover."""
 
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
+    mass: float = 1.0
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
@@ -129,6 +135,17 @@ def fit_router(x: np.ndarray, part: np.ndarray, parts: int, rng: np.random.Gener
     return Router(*(a.astype(np.float64) for a in w))
 
 
+def covering_mass(router: Router, x: np.ndarray, recall: float, near: int = 20) -> float:
+    """The least mass by which ``recall`` of the ``near`` nearest neighbours of ``x`` among themselves are found."""
+    p = router.probabilities(x)
+    part, order = p.argmax(axis=1), np.argsort(-p, axis=1, kind="stable")
+    ranked = np.take_along_axis(p, order, axis=1)
+    before = np.empty_like(p)
+    np.put_along_axis(before, order, np.cumsum(ranked, axis=1) - ranked, axis=1)
+    wanted = neighbour_graph(x, min(near, len(x) - 1))
+    return float(np.nextafter(np.quantile(np.take_along_axis(before, part[wanted], axis=1), recall), 2.0))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id, v array<double>`` of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
@@ -138,19 +155,25 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.size("v") == (sizes[0]["n"] if sizes else 0))
 
 
-def fit(distinct: DataFrame, max_sample: int = 8192, per_part: int = 512, max_parts: int = 64, degree: int = 10, seed: int = 7) -> Router | None:
-    """Learn parts from at most ``max_sample`` distinct vectors, chosen by a hash; None where one part does."""
+def fit(distinct: DataFrame, n: int, max_sample: int = 8192, per_part: int = 96, max_parts: int = 256, degree: int = 10, recall: float = 0.95, seed: int = 7) -> Router | None:
+    """Learn parts from at most ``max_sample`` of the ``n`` distinct vectors, chosen by a hash. None where one part does.
+
+    A quarter of the sample is kept from the classifier and sets the mass.
+    """
     taken = distinct.orderBy(F.xxhash64("v"), "v").select("v").limit(max_sample).collect()
-    parts = min(max_parts, len(taken) // per_part)
+    x = np.array([r["v"] for r in taken])
+    parts = min(max_parts, n // per_part, len(x) // 24)
     if parts < 2:
         return None
-    rng, x = np.random.default_rng(seed), np.array([r["v"] for r in taken])
-    part = balanced_parts(x, neighbour_graph(x, degree), parts, rng)
-    return fit_router(x, part, parts, rng)
+    rng, unseen = np.random.default_rng(seed), np.arange(len(x)) % 4 == 3
+    own = x[~unseen]
+    part = balanced_parts(own, neighbour_graph(own, degree), parts, rng)
+    router = fit_router(own, part, parts, rng)
+    return replace(router, mass=covering_mass(router, x[unseen], recall))
 
 
-def _routed(rows: DataFrame, router: Router | None, probes: int, mass: float) -> DataFrame:
-    """``rows`` with ``part``: the most probable one, or for ``probes`` > 1 as many rows as parts to search."""
+def _routed(rows: DataFrame, router: Router | None, several: bool) -> DataFrame:
+    """``rows`` with ``part``: the most probable one, or as many rows as parts to search if ``several``."""
     fields = rows.schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,13 +184,14 @@ def _routed(rows: DataFrame, router: Router | None, probes: int, mass: float) ->
             if router is None:
                 at, part = np.arange(n), np.zeros(n, dtype=np.int64)
             else:
-                x = np.array(b.column(b.schema.get_field_index("v")).to_pylist(), dtype=np.float64)
-                p = router.probabilities(x)
-                order = np.argsort(-p, axis=1, kind="stable")[:, :probes]
-                ranked = np.take_along_axis(p, order, axis=1)
-                wanted = np.cumsum(ranked, axis=1) - ranked < mass
-                at, k = np.nonzero(wanted)
-                part = order[at, k]
+                p = router.probabilities(_matrix(b.column(b.schema.get_field_index("v"))))
+                if several:
+                    order = np.argsort(-p, axis=1, kind="stable")
+                    ranked = np.take_along_axis(p, order, axis=1)
+                    at, k = np.nonzero(np.cumsum(ranked, axis=1) - ranked < router.mass)
+                    part = order[at, k]
+                else:
+                    at, part = np.arange(n), p.argmax(axis=1)
             taken = b.take(pa.array(at))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(part, pa.int64())], [*fields, "part"])
 
@@ -175,51 +199,86 @@ def _routed(rows: DataFrame, router: Router | None, probes: int, mass: float) ->
     return batches_of(rows).mapInArrow(run, schema)
 
 
-def _search_block(k: int):
-    """The best ``k`` of a block's vectors for every query that comes to its part."""
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1)
+
+
+def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of ``q`` and ``x``, added up in the order of components."""
+    found = np.zeros(len(x))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for j in range(x.shape[1]):
+            found += q[:, j] * x[:, j]
+    return np.where(np.isnan(found), -np.inf, found)
 
-    def run(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asked) and len(held):
-            x = np.array(held["v"].tolist(), dtype=np.float64)
-            copies = held["ids"].tolist()
-            at = np.repeat(np.arange(len(held)), [len(c) for c in copies])
-            ids = np.concatenate([np.asarray(c, dtype=np.int64) for c in copies])
-            for begin in range(0, len(asked), 256):
-                some = asked.iloc[begin : begin + 256]
-                scores = np.array(some["v"].tolist(), dtype=np.float64) @ x.T
-                near = min(k + 1, len(x))
-                least = np.partition(scores, len(x) - near, axis=1)[:, len(x) - near]
-                for q, s, low in zip(some["query_id"], scores, least, strict=True):
-                    own = np.flatnonzero(s[at] >= low)
-                    own = own[ids[own] != q]
-                    best = own[np.lexsort((ids[own], -s[at[own]]))[:k]]
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "near": s[at[best]]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "near": []}).astype({"query_id": "int64", "vec_id": "int64", "near": "float64"})
 
-    return run
+def _counting(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... for each of the ``sizes``, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def search(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, probes: int = 16, mass: float = 0.997, router: Router | None | str = "fit") -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each row that the SQL condition ``queries`` picks, the ``k`` nearest others found."""
-    rows = cut(usable(vectors))
-    smallest = F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids")
+def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, near``: the best ``k`` of a block's vectors for each query of the other block, for each row of ``pairs (asked, held)``.
+
+    A matrix product finds whatever can be among them, up to its rounding, and scores in one fixed order decide.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, held in zip(batch.column(0), batch.column(1), strict=True):
+                own, rows = asked.values, held.values
+                queries, wanted = own.field("query_id").to_numpy(), _matrix(own.field("v"))
+                x, copies = _matrix(rows.field("v")), rows.field("ids")
+                offsets = copies.offsets.to_numpy()
+                every, sizes, offsets = copies.flatten().to_numpy(), np.diff(offsets), offsets[:-1] - offsets[0]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    rough = wanted @ x.T
+                    slack = 1e-12 * np.abs(x).max(axis=1).sum() / len(x) * np.abs(wanted).sum(axis=1) + 1e-300
+                rough = np.where(np.isnan(rough), np.inf, rough)
+                near = min(k + 1, len(x))
+                least = np.partition(rough, len(x) - near, axis=1)[:, len(x) - near] - slack
+                qi, xi = np.nonzero(~(rough < least[:, None]))
+                score = scores(wanted[qi], x[xi])
+                times = sizes[xi]
+                qi, score, id_at = np.repeat(qi, times), np.repeat(score, times), np.repeat(offsets[xi], times) + _counting(times)
+                ids = every[id_at]
+                other = ids != queries[qi]
+                qi, score, ids = qi[other], score[other], ids[other]
+                order = np.lexsort((ids, -score, qi))
+                order = order[_counting(np.bincount(qi, minlength=len(queries))) < k]
+                yield pa.RecordBatch.from_arrays([pa.array(queries[qi[order]]), pa.array(ids[order]), pa.array(score[order])], ["query_id", "vec_id", "near"])
+
+    return batches_of(pairs).mapInArrow(run, "query_id long, vec_id long, near double")
+
+
+def _blocks(rows: DataFrame, size: int, content: list[str], name: str, key: str) -> DataFrame:
+    """``part, name``: the rows of every part in arrays of about ``size``. The driver sees one number per part."""
+    held = saved(rows)
+    counts = held.groupBy("part").agg(F.ceil(F.count("*") / size).alias("n"))
+    few = F.map_from_entries(F.array(*(F.struct(F.lit(r["part"]), F.lit(r["n"])) for r in counts.filter("n > 1").collect()))) if counts.filter("n > 1").head(1) else None
+    n = F.lit(1).cast("long") if few is None else F.coalesce(few[F.col("part")], F.lit(1).cast("long"))
+    dealt = held.withColumn("block", F.pmod(F.xxhash64(key), n))
+    return dealt.groupBy("part", "block").agg(F.collect_list(F.struct(*content)).alias(name)).drop("block")
+
+
+def search(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, router: Router | None | str = "fit", **fitting) -> DataFrame:
+    """``query_id, rank, vec_id, score``: for each row that the SQL condition ``queries`` picks, the ``k`` nearest others found.
+
+    ``fitting`` are parameters of ``fit``.
+    """
+    rows = saved(usable(vectors))
     # of equal vectors only the k + 1 smallest ids can be answers: take them within slices of the copies first
     copy = Window.partitionBy("v", "slice").orderBy("vec_id")
     few = rows.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("nth", F.row_number().over(copy)).filter(F.col("nth") <= k + 1)
-    distinct = cut(few.groupBy("v").agg(smallest))
+    distinct = saved(few.groupBy("v").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids")))
     if router == "fit":
-        router = fit(distinct)
-    held = _routed(distinct, router, 1, 1.0).withColumn("block", F.pmod(F.xxhash64("v"), F.lit(_blocks(distinct, router))))
+        router = fit(distinct, distinct.count(), **fitting)
+    held = _blocks(_routed(distinct, router, False), BLOCK_ROWS, ["v", "ids"], "held", "v")
     asked = rows.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumnRenamed("vec_id", "query_id")
-    asked = _routed(asked, router, probes, mass).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_blocks(distinct, router) - 1).cast("long"))))
-    found = asked.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInPandas(_search_block(k), "query_id long, vec_id long, near double")
+    asked = _blocks(_routed(asked, router, True), BLOCK_QUERIES, ["query_id", "v"], "asked", "query_id")
+    found = _nearest(asked.join(held, "part").select("asked", "held"), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     first = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return first.select("query_id", "rank", "vec_id", F.col("near").alias("score"))
-
-
-def _blocks(distinct: DataFrame, router: Router | None) -> int:
-    """Blocks that each part is divided into, so that a block has about ``BLOCK_ROWS`` rows at most."""
-    parts = 1 if router is None else len(router.b2)
-    return max(1, -(-2 * distinct.count() // (parts * BLOCK_ROWS)))

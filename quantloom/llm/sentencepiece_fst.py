@@ -1,21 +1,31 @@
 """SentencePiece encoding and decoding (operator 3) as a weighted finite-state transducer.
 
-A model file is compiled to three parts: a normaliser that rewrites characters (space to U+2581, with one put in front), a
-lexicon transducer from characters to pieces weighted by negated scores, and a byte-fallback transducer for
-characters outside the vocabulary. They are composed with an input lazily, and the shortest path in the tropical
-semiring (minimum over paths, sum along them) gives the ids.
+A model file is compiled to transducers:
 
-For a BPE model the shortest path over scores alone would not give what merging gives. There the lexicon's states also remember
-the last piece, and an arc to the next one exists only where merging the two pieces' characters gives just these two
-pieces back; any other arc weighs infinity. A segmentation all of whose neighbours pass is the one that merging
-finds, so of each prefix of the input one state is reached at most. The tests hold this against the library.
+* the normaliser: rules that rewrite the longest match, over states that tell whether a space is owed (the space becomes U+2581,
+  one is put in front, and repeated ones may vanish);
+* the lexicon: a trie of the pieces' characters, from whose final states an arc leads back to the root, gives out the piece
+  and weighs its negated score;
+* byte fallback: for each character outside the pieces an arc from the root that gives out the characters' bytes, or the
+  unknown piece, and weighs more than any piece.
 
-Two characters that stand side by side in no piece are never joined. So an input is cut there, which most of all is at
-the starts and ends of words, and composed unit by unit; units that come again are looked up.
+They are composed with an input lazily, so only states that the input reaches are made, and the path of least weight in the
+tropical semiring (minimum over paths, sum along them) gives the ids. Every arc leads forward in the input, so states are
+relaxed in order of their position. Decoding reads the inverted transducer.
+
+For a BPE model weights alone would not give what merging gives. There the lexicon's root is split into a state for each last
+piece, and the arc to a next piece weighs infinity unless merging the two pieces' characters gives just these two pieces
+back. A segmentation all of whose neighbours pass is the one that merging finds. The tests hold both kinds of
+model, and the normaliser, against the library.
+
+Two characters that stand side by side in no piece are never joined. So the input of a BPE model is cut there, which most of
+all is at the starts and ends of words, and composed unit by unit; units that come again are looked up. That of another
+model is composed whole. Texts of any length are whole
+inputs; tables of known units are bounded.
 
 Cases: a null text is the empty text and has no ids; decoding gives it back. A text with U+2581 itself decodes to a space
 there, as in the library. Repeated rows get equal results, rows with a null ``doc_id`` too. An empty table gives
-an empty result. Other columns are ignored.
+an empty result. Other columns are ignored. Models with user-defined pieces or with spaces at the ends of words are refused.
 """
 
 from __future__ import annotations
@@ -77,11 +87,34 @@ class ModelFile:
     dummy_prefix: bool
     byte_fallback: bool
     unknown: int
+    rules: dict[str, str]
+    one_space: bool
+
+
+def read_rules(charsmap: bytes) -> dict[str, str]:
+    """What a normaliser replaces by what: a double array, whose leaves point into a list of strings."""
+    if not charsmap:
+        return {}
+    (size,) = struct.unpack_from("<I", charsmap)
+    units, strings = struct.unpack_from(f"<{size // 4}I", charsmap, 4), charsmap[4 + size :]
+    offset = lambda u: (u >> 10) << ((u & (1 << 9)) >> 6)
+    rules, todo = {}, [(offset(units[0]), b"")]
+    while todo:
+        at, key = todo.pop()
+        for label in range(1, 256):
+            if (at ^ label) < len(units) and (units[at ^ label] & 0x800000FF) == label:
+                unit, here = units[at ^ label], key + bytes([label])
+                below = (at ^ label) ^ offset(unit)
+                if unit >> 8 & 1:
+                    value = units[below] & 0x7FFFFFFF
+                    rules[here.decode("utf-8")] = strings[value : strings.index(b"\0", value)].decode("utf-8")
+                todo.append((below, here))
+    return rules
 
 
 def read_model(data: bytes) -> ModelFile:
     """Pieces, model type and normaliser of a SentencePiece model file."""
-    pieces, kind, dummy, fallback = [], 1, True, False
+    pieces, kind, dummy, fallback, rules, one_space = [], 1, True, False, {}, True
     for number, value in _fields(data):
         if number == 1:
             own = dict(_fields(value))
@@ -89,13 +122,74 @@ def read_model(data: bytes) -> ModelFile:
         elif number == 2:
             own = dict(_fields(value))
             kind, fallback = own.get(3, 1), bool(own.get(35, 0))
+            if own.get(24, 0):
+                raise ValueError("spaces at the ends of words are not compiled")
         elif number == 3:
             own = dict(_fields(value))
-            dummy = bool(own.get(3, 1))
-            if own.get(2) or own.get(4, 1) or not own.get(5, 1):
-                raise ValueError("only the identity normaliser with escaped, kept white space is compiled")
+            dummy, one_space, rules = bool(own.get(3, 1)), bool(own.get(4, 1)), read_rules(own.get(2, b""))
+            if not own.get(5, 1):
+                raise ValueError("only normalisers that escape white space are compiled")
+    if any(p[2] == USER_DEFINED for p in pieces):
+        raise ValueError("user-defined pieces are not compiled")
     unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
-    return ModelFile(pieces, kind, dummy, fallback, unknown)
+    return ModelFile(pieces, kind, dummy, fallback, unknown, rules, one_space)
+
+
+class Trie:
+    """Arcs by character, ``step[state][character]``, and what its final states give out."""
+
+    def __init__(self, entries: dict[str, object]):
+        self.step: list[dict[str, int]] = [{}]
+        self.final: list[object] = [None]
+        for key, value in entries.items():
+            state = 0
+            for x in key:
+                if x not in self.step[state]:
+                    self.step[state][x] = len(self.step)
+                    self.step.append({})
+                    self.final.append(None)
+                state = self.step[state][x]
+            self.final[state] = value
+
+
+class Normaliser:
+    """Deterministic transducer: at each place the longest rule, else the character itself; then spaces by ``SPACES``.
+
+    Spaces have three states: nothing given out yet, inside a word, and a space owed. With ``one_space`` a space only changes the
+    state, and the next other character pays it.
+    """
+
+    def __init__(self, rules: dict[str, str], dummy_prefix: bool, one_space: bool):
+        self.rules, self.dummy_prefix, self.one_space = Trie(rules), dummy_prefix, one_space
+        self.plain = not rules and not one_space
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        if self.plain:  # one state, and an arc for the space beside the identity
+            return (" " * self.dummy_prefix + text).replace(" ", SPACE)
+        step, final, out, at = self.rules.step, self.rules.final, [], 0
+        while at < len(text):
+            state, end, new = 0, at + 1, text[at]
+            for k in range(at, len(text)):
+                state = step[state].get(text[k])
+                if state is None:
+                    break
+                if final[state] is not None:
+                    end, new = k + 1, final[state]
+            out.append(new)
+            at = end
+        rewritten = "".join(out)
+        if not self.one_space:
+            return (" " * self.dummy_prefix + rewritten).replace(" ", SPACE) if rewritten else ""
+        out, owed, begun = [], self.dummy_prefix, False
+        for x in rewritten:
+            if x == " ":
+                owed = owed or begun
+            else:
+                out.append(SPACE + x if owed else x)
+                owed, begun = False, True
+        return "".join(out)
 
 
 class Transducer:
@@ -105,14 +199,15 @@ class Transducer:
 
     def __init__(self, data: bytes, max_known: int = 400_000):
         model = read_model(data)
-        self.bpe, self.dummy_prefix, self.unknown = model.kind == BPE, model.dummy_prefix, model.unknown
-        self.arcs = {p: (i, -score) for i, (p, score, kind) in enumerate(model.pieces) if kind in (NORMAL, USER_DEFINED)}
-        self.names = [p for p, _, _ in model.pieces]
+        self.bpe, self.unknown, self.by_bytes = model.kind == BPE, model.unknown, model.byte_fallback
+        self.normalise = Normaliser(model.rules, model.dummy_prefix, model.one_space)
+        self.strips = model.dummy_prefix or model.one_space
+        self.arcs = {p: (i, -score) for i, (p, score, kind) in enumerate(model.pieces) if kind == NORMAL}
+        self.lexicon = Trie({p: (p, i, w) for p, (i, w) in self.arcs.items()})
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE} if model.byte_fallback else {}
         self.cuts_at_spaces = not any(SPACE in p.lstrip(SPACE) for p in self.arcs)
         self.joined = {p[k : k + 2] for p in self.arcs for k in range(len(p) - 1)}
-        self.longest = max(map(len, self.arcs), default=1)
-        self.worst = max((w for _, w in self.arcs.values()), default=0.0) + 10.0
+        self.worst = float(np.float32(max((w for _, w in self.arcs.values()), default=0.0) + 10.0))
         self.spoken = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in model.pieces]
         self.max_known = max_known
         self.words: dict[str, bytes] = {}
@@ -145,49 +240,65 @@ class Transducer:
         return known
 
     def shortest_path(self, unit: str) -> list[int]:
-        """Ids of the best path through the composition of a unit with lexicon and byte fallback."""
-        n, arcs, allowed, bpe, longest = len(unit), self.arcs, self.allowed, self.bpe, self.longest
-        cost, last, back = [0.0] + [INFINITE] * n, [""] * (n + 1), [-1] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(j - longest if j > longest else 0, j):  # the longest piece first
-                piece = unit[i:j]
-                if piece not in arcs:
-                    if i < j - 1:
-                        continue
-                    weight = self.worst
-                else:
-                    weight = arcs[piece][1]
-                    if bpe:
-                        before = last[i]
-                        known = allowed.get((before, piece))
-                        if known is False or known is None and not self.follows(before, piece):
-                            continue
-                if cost[i] + weight < cost[j]:
-                    cost[j], last[j], back[j] = cost[i] + weight, piece, i
+        """Ids of the path of least weight through the composition of a unit with lexicon and byte fallback.
+
+        ``reached[i]`` has the composed states at place ``i`` of the unit, by the lexicon's state: the last piece of a BPE model,
+        else the one root. Each holds its least weight, the place and state it is reached from, and the piece.
+        """
+        n, bpe, step, final, allowed = len(unit), self.bpe, self.lexicon.step, self.lexicon.final, self.allowed
+        reached: list[dict[str, tuple[float, int, str, str]]] = [{} for _ in range(n + 1)]
+        reached[0][""] = (0.0, -1, "", "")
+        for i in range(n):
+            own = reached[i]
+            if not own:
+                continue
+            arcs, at = [], 0
+            for j in range(i, n):
+                at = step[at].get(unit[j])
+                if at is None:
+                    break
+                if final[at] is not None:
+                    arcs.append((j + 1, final[at][0], final[at][2]))
+            if not arcs or arcs[0][0] > i + 1:
+                arcs.append((i + 1, unit[i], self.worst))
+            for state, (cost, _, _, _) in own.items():
+                for end, piece, weight in arcs:
                     if bpe:
-                        break  # no other state of this prefix can be reached
+                        known = allowed.get((state, piece))
+                        if known is False or known is None and not self.follows(state, piece):
+                            continue  # an arc of infinite weight
+                    # sums are rounded as the library's, which decides between segmentations of the same pieces
+                    to, total = (piece, cost + weight) if bpe else ("", float(np.float32(cost + weight)))
+                    if to not in reached[end] or total < reached[end][to][0]:
+                        reached[end][to] = (total, i, state, piece)
         out: list[int] = []
-        j = n
-        while j > 0:
-            i = back[j]
-            piece = unit[i:j]
-            if piece in arcs:
-                out.append(arcs[piece][0])
-            elif self.bytes:
+        at, (state, best) = n, min(reached[n].items(), key=lambda x: x[1][0])
+        while at > 0:
+            _, before, state, piece = best
+            if piece in self.arcs:
+                out.append(self.arcs[piece][0])
+            elif self.by_bytes:
                 out.extend(self.bytes[b] for b in reversed(piece.encode("utf-8")))
             else:
                 out.append(self.unknown)
-            j = i
+            at, best = before, reached[before][state]
         return out[::-1]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
+        normal = self.normalise(text)
+        if not normal:
             return b""
-        escaped = (" " * self.dummy_prefix + text).replace(" ", SPACE)
         known, new = self.words.get, self._new_word
-        words = self.UNITS.findall(escaped) if self.cuts_at_spaces else [escaped]
-        return b"".join([new(w) if (ids := known(w)) is None else ids for w in words])
+        if not self.bpe:  # sums from the start of the text decide, by their rounding, between segmentations of equal weight
+            ids = np.array(self.shortest_path(normal), dtype="<u4").tobytes()
+        else:
+            words = self.UNITS.findall(normal) if self.cuts_at_spaces else [normal]
+            ids = b"".join([new(w) if (ids := known(w)) is None else ids for w in words])
+        if self.by_bytes:
+            return ids
+        found = np.frombuffer(ids, dtype="<u4")  # of unknown pieces side by side one is given out
+        return found[~((found == self.unknown) & (np.concatenate([[-1], found[:-1]]) == self.unknown))].tobytes()
 
     def _new_word(self, word: str) -> bytes:
         joined, at, found = self.joined, 0, []
@@ -216,7 +327,7 @@ class Transducer:
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
         spoken = b"".join(map(self.spoken.__getitem__, ids))
-        if self.dummy_prefix and spoken.startswith(b" "):
+        if self.strips and spoken.startswith(b" "):
             spoken = spoken[1:]
         return spoken.decode("utf-8", "replace")
 

@@ -137,6 +137,51 @@ def test_transducer_equals_the_library(spark, docs, none):
     assert found.filter("NOT round_trip").count() == 0 and sentencepiece_fst.encode_documents(none, path).count() == 0
 
 
+def message(*fields):
+    """A protocol buffer message of (number, bytes, int or float)."""
+    import struct
+
+    def varint(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, bytes):
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+        elif isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        else:
+            out += varint(number << 3) + varint(value)
+    return out
+
+
+@pytest.mark.parametrize("by_bytes", [True, False])
+@pytest.mark.parametrize("rule, one_space", [("", 0), ("", 1), ("nmt_nfkc", 1), ("nfkc", 0)])
+def test_unigram_and_normaliser_equal_the_library(by_bytes, rule, one_space):
+    """Models written by hand: overlapping pieces whose weights decide, rules and spaces."""
+    import sentencepiece
+
+    r = random.Random(4)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if by_bytes else [])
+    spell = ["▁", "a", "b", "c", "d", "▁a", "ab", "bc", "abc", "cd", "bcd", "▁ab", "da", "dd", "abab", "ca", "cab", "fi", "▁b▁", "1"]
+    pieces += [(p, -1.0 - len(p) * 1.37 - r.random() * 3, 1) for p in spell]
+    charsmap = b""
+    if rule:
+        charsmap = dict(sentencepiece_fst._fields(dict(sentencepiece_fst._fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()))[3]))[2]
+    model = b"".join(message((1, message((1, p.encode()), (2, score), (3, kind)))) for p, score, kind in pieces)
+    model += message((2, message((3, 1), (35, int(by_bytes)))), (3, message((1, b"own"), (2, charsmap), (3, 1), (4, one_space), (5, 1))))
+    library, fst = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_fst.Transducer(model, max_known=50)
+    letters = list("aaabbbcccddd   ") + ["  ", "ﬁ", "①", "x", "é", "e\u0301", "日", "\t", "　"]
+    for _ in range(1500):
+        text = "".join(r.choice(letters) for _ in range(r.randint(0, 14)))
+        ids = library.encode(text)
+        assert np.frombuffer(fst.encode(text), dtype="<u4").tolist() == ids, text
+        assert fst.decode(ids) == library.decode(ids), text
+
+
 # --- 4: toxicity
 
 
@@ -308,6 +353,13 @@ def test_links_equal_brute_force(spark):
         assert parts([found.get(v, v) for v in signed]) == parts(roots)
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Wholly different texts under one id all stay; copies go, also under one id."""
+    rows = [(3, prose(41)), (3, prose(42)), (3, prose(42)), (4, prose(41)), (5, prose(43)), (None, prose(43)), (None, prose(43))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept.collect()) == sorted([(3, prose(41)), (3, prose(42)), (5, prose(43)), (0, prose(43)), (0, prose(43))])
+
+
 def test_near_duplicates_of_hard_rows(spark, docs, none):
     found = simhash.near_duplicates(docs).collect()
     by = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import cut
+from quantloom.llm.common import saved
 
 
 def _state(links: DataFrame) -> tuple:
@@ -28,13 +28,13 @@ def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links (a, b)``; ``root`` is the smallest node that can be reached.
 
     Links are undirected and may repeat; a link of a node with itself, or with null, says nothing. Links never grow in
-    number, none reach the driver, and every round is cut by a checkpoint. Without links the result is empty.
+    number, none reach the driver, and every round is a table of its own. Without links the result is empty.
     """
     links = links.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(links)
     while before[0]:
-        links = cut(_star(_star(links, large=True), large=False))
+        links = saved(_star(_star(links, large=True), large=False))
         after = _state(links)
         if after == before:
             break

@@ -40,7 +40,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), removed="removed")
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="removed")
     text = F.coalesce("text", F.lit(""))
     return found.select("doc_id", F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import batches_of, cut, text_of
+from quantloom.llm.common import batches_of, saved, text_of
 from quantloom.llm.components import components
 
 SEED = 42
@@ -57,15 +57,15 @@ def fingerprint(text: str, shingle_words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of every row's whole text, as a signed 64-bit integer."""
+    """``doc_id, h, fp``: the fingerprint of every row's whole text, as a signed 64-bit integer; ``h`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(x, shingle_words) for x in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(x, shingle_words) for x in b.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found.view(np.int64))], ["doc_id", "h", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return batches_of(rows).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
+    return batches_of(rows).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -124,8 +124,8 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     # fingerprints that agree outside one segment
     outside = F.array(*(F.struct(F.lit(i).alias("i"), fp.bitwiseAND(F.lit(_signed(~_ring_mask(r) & _mask(64)))).alias("rest")) for i, r in enumerate(ring)))
     alike = distinct.select("fp", F.explode(outside).alias("k")).groupBy("k").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
-    near = cut(components(_forest(alike.select("fps"), max_bits)))
-    known = cut(distinct.join(near.select(F.col("node").alias("fp"), F.col("root")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    near = saved(components(_forest(alike.select("fps"), max_bits)))
+    known = saved(distinct.join(near.select(F.col("node").alias("fp"), F.col("root")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
     # chains that start at segment i: equal there, and at most one bit apart in the next
     plain, asking = [], []
@@ -135,9 +135,11 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
         plain.append(F.struct(key.alias("key"), F.lit(False).alias("asks")))
         flips = [0, *(1 << (6 + own[1] + bit) for bit in range(after[1]))]
         asking.extend(F.struct(key.bitwiseXOR(F.lit(x).cast("long")).alias("key"), F.lit(True).alias("asks")) for x in flips)
-    keyed = known.select("fp", "root", F.explode(F.array(*plain, *asking)).alias("k")).select("fp", "root", "k.key", "k.asks")
+    # a small table has few partitions, and what is made of it here is some 75 times as large
+    spread = known.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = spread.select("fp", "root", F.explode(F.array(*plain, *asking)).alias("k")).select("fp", "root", "k.key", "k.asks")
     here = Window.partitionBy("key")
-    mixed = cut(keyed.withColumns({"lo": F.min("root").over(here), "hi": F.max("root").over(here)}).filter("lo <> hi").drop("lo", "hi"))
+    mixed = saved(keyed.withColumns({"lo": F.min("root").over(here), "hi": F.max("root").over(here)}).filter("lo <> hi").drop("lo", "hi"))
 
     a = mixed.filter("asks").select("key", F.col("fp").alias("x"), F.col("root").alias("a"))
     b = mixed.filter("NOT asks").select("key", F.col("fp").alias("y"), F.col("root").alias("b"))
@@ -155,19 +157,27 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs``; ``component_id`` is the component's smallest ``doc_id``."""
-    rows = cut(fingerprints(docs, shingle_words))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = cut(distinct.join(link_fingerprints(distinct.select("fp"), max_bits), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    """``doc_id, h, fp, component_id`` for every row of ``docs``; ``component_id`` is the component's smallest ``doc_id``."""
+    return _grouped(docs, shingle_words, max_bits).select("doc_id", "h", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, shingle_words: int, max_bits: int) -> DataFrame:
+    """``doc_id, h, fp, component_id, root`` for every row of ``docs``."""
+    rows = saved(fingerprints(docs, shingle_words))
+    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = saved(distinct.join(link_fingerprints(distinct.select("fp"), max_bits), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "h", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, max_bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` of which no near copy has a smaller ``doc_id``, one row per ``doc_id``; rows without
-    a ``doc_id`` stay. All columns of ``docs`` stay, in order."""
-    found = near_duplicates(docs.filter("doc_id IS NOT NULL"), shingle_words, max_bits)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    first = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each group of near copies, the one of the smallest ``doc_id`` (of several texts under this one, of the
+    smallest hash). Texts that are not alike all stay, also under one ``doc_id``; rows without a ``doc_id`` stay. All
+    columns of ``docs`` stay, in order."""
+    named = docs.filter("doc_id IS NOT NULL")
+    kept = _grouped(named, shingle_words, max_bits).groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("kept"))
+    kept = kept.select(F.col("kept.doc_id").alias("__ql_id"), F.col("kept.h").alias("__ql_h"))
+    rows = named.withColumns({"__ql_own": F.col("doc_id").cast("long"), "__ql_text": F.xxhash64(text_of())})
+    first = rows.join(kept, (F.col("__ql_own") == F.col("__ql_id")) & (F.col("__ql_text") == F.col("__ql_h"))).dropDuplicates(["__ql_own", "__ql_text"])
+    return first.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))

@@ -58,6 +58,24 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Slots of a filter of keys; the size of what is broadcast does not grow with the corpus.
+SLOTS = 1 << 20
+
+
+def possible(df: DataFrame, keys: list[str], known: DataFrame, names: list[str], mark: str | None = None) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` can be among the values of ``names`` in ``known``; with ``mark``, all rows and a column of
+    that name that is null for the others.
+
+    Only the slots that the known values fall into are broadcast, ``SLOTS`` numbers at most. Some rows too many stay; what
+    comes after joins exactly.
+    """
+    slot = lambda own: F.expr(f"cast(pmod(xxhash64({', '.join(own)}), {SLOTS}) as int)")
+    name = mark or "__ql_slot"
+    slots = F.broadcast(known.select(slot(names).alias(name)).distinct())
+    found = df.withColumn("__ql_own", slot(keys)).join(slots, F.col("__ql_own") == F.col(name), "left" if mark else "left_semi")
+    return found.drop("__ql_own")
+
+
 def batches_of(df: DataFrame) -> DataFrame:
     """Have Python see ``df`` in Arrow batches that are bounded in rows and in bytes, however long the texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")

@@ -42,9 +42,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import batches_of, cut, text_of
+from quantloom.llm.common import batches_of, cut, possible, text_of
 from quantloom.llm.components import components
-from quantloom.llm.line_dedup import _held as held_in
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -259,7 +258,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = 0.75
     entities = cut(contexts_of(found)).select("ctx", "terms", F.explode("entities").alias("entity"))
     counts = entities.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("ctx").alias("contexts"), F.sum(F.size("terms")).alias("n_proposed"))
     several = cut(counts.filter("contexts > 1"))  # one context proves nothing
-    pairs = entities.filter(held_in(several, ["entity"], ["entity"])).select("entity", "ctx", F.explode("terms").alias("term"))
+    pairs = possible(entities, ["entity"], several, ["entity"]).select("entity", "ctx", F.explode("terms").alias("term"))
     pairs = cut(pairs.groupBy("entity", "term").agg(F.count_distinct("ctx").alias("support"), F.count("*").alias("n_both")).filter("support > 1"))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))

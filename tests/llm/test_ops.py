@@ -250,7 +250,7 @@ def alike(p, q, similarity=0.8):
     n, m = len(p), len(q)
     if abs(n - m) > (1 - similarity) * max(n, m) + 1e-9:
         return False
-    if max(n, m) > 512:
+    if max(n, m) > 100:
         p, q = p.split(" "), q.split(" ")
     return edit_distance(p, q) <= int((1 - similarity) * max(len(p), len(q)) + 1e-9)
 
@@ -290,7 +290,7 @@ def test_line_dedup_equals_brute_force(spark, docs, none):
     def near(a, b):
         x, y = (blocks.setdefault(z, line_blocks(z)) for z in (a, b))
         differing = sum((x.get(c, 0) ^ y.get(c, 0)).bit_count() for c in range(6))
-        return sum(x[c] == y.get(c) for c in x) > 1 and differing <= 28 and alike(a, b)
+        return sum(x[c] == y.get(c) for c in x) > 1 and differing <= 20 and alike(a, b)
 
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     found = line_dedup.dedup_lines(df.withColumn("removed", F.lit("x")), removed="removed").collect()

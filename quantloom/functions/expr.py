@@ -46,9 +46,10 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def band_score(value: Column, low: float, high: float, window: float) -> Column:
-    """1 inside [low, high], falling to 0 linearly within ``window`` outside."""
-    return F.when(value.between(low, high), F.lit(1.0)).when(value < low, F.greatest(F.lit(0.0), 1 - (low - value) / window)).otherwise(F.greatest(F.lit(0.0), 1 - (value - high) / window))
+def band_score(value: Column, low: float, high: float, comfort: float = 0.02) -> Column:
+    """1 inside [low, high], falling to 0 linearly outside, over ``comfort`` times the value (of 1 at least)."""
+    far = F.least(F.abs(value - low), F.abs(value - high))
+    return F.when(value.between(low, high), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - far / (comfort * F.greatest(F.lit(1.0), F.abs(value)))))
 
 
 def normal_pdf(x: Column) -> Column:

@@ -31,7 +31,7 @@ def join_index(df: DataFrame, idx: DataFrame) -> DataFrame:
 
 
 def outer_with_regime(df: DataFrame, regimes: DataFrame, prefix: str = "nifty50_") -> DataFrame:
-    """Bars of one stock with the index's regimes; dates that only the index has, as forecasts do, stay."""
+    """Bars with the index's regimes of their date; dates that only the index has, as forecasts do, stay, without a ticker."""
     return df.join(prefixed(regimes, prefix), "Date", "full")
 
 

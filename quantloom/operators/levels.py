@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.expr import by_date, divide, true_range
-from quantloom.operators.bars import last_n
 from quantloom.operators.windows import swings
 
 C = F.col
@@ -157,13 +156,20 @@ def closes_in_zones(df: DataFrame, found: DataFrame) -> DataFrame:
     return df.join(found, "Ticker").filter(C("Close").between(C("low"), C("high")))
 
 
-def nearest_levels(df: DataFrame, lookback: int = 100, left: int = 5, right: int = 5, n_levels: int = 3) -> DataFrame:
-    """``Ticker, Close, support, resistance, support_distance, resistance_distance``: of the latest ``n_levels`` distinct pivots of the last
-    ``lookback`` bars, the nearest below and above the last close; distances are clipped to 0.5, which also stands for none."""
-    marked = swings(last_n(df, lookback), left, right, "High", "Low")
-    pivots = marked.select("Ticker", "Date", F.explode(F.array(F.when(C("swing_high"), C("High")), F.when(C("swing_low"), C("Low")))).alias("level"), F.lit(1)).filter("level IS NOT NULL")
-    recent = pivots.groupBy("Ticker", "level").agg(F.max("Date").alias("Date")).withColumn("nth", F.row_number().over(Window.partitionBy("Ticker").orderBy(F.desc("Date"), "level"))).filter(C("nth") <= n_levels)
+def nearest_levels(df: DataFrame, lookback: int = 250, left: int = 5, right: int = 5, n_levels: int = 5) -> DataFrame:
+    """``Ticker, Close, support, resistance, support_distance, resistance_distance`` of each ticker's last bar.
+
+    Pivots are highs and lows of the close; of the last ``lookback`` pivots the ``n_levels`` newest distinct highs are
+    resistances and as many lows supports. A support is the nearest one not above the close, else the highest; a resistance
+    the nearest one not below, else the lowest. Distances are shares of the close, clipped to half of it; no level is as far.
+    """
+    pivots = swings(df, left, right).filter("swing_high OR swing_low").withColumn("nth", F.row_number().over(Window.partitionBy("Ticker").orderBy(F.desc("Date")))).filter(C("nth") <= lookback)
+    levels = pivots.groupBy("Ticker", C("swing_high").alias("above"), F.when(C("swing_high"), C("High")).otherwise(C("Low")).alias("level")).agg(F.max("Date").alias("Date"))
+    recent = levels.withColumn("nth", F.row_number().over(Window.partitionBy("Ticker", "above").orderBy(F.desc("Date")))).filter(C("nth") <= n_levels)
     last = df.groupBy("Ticker").agg(F.max_by("Close", "Date").alias("Close"))
-    both = last.join(recent.select("Ticker", "level"), "Ticker", "left").groupBy("Ticker", "Close").agg(F.max(F.when(C("level") < C("Close"), C("level"))).alias("support"), F.min(F.when(C("level") > C("Close"), C("level"))).alias("resistance"))
-    far = lambda x: F.least(F.coalesce(divide(F.abs(C("Close") - C(x)), C("Close")), F.lit(0.5)), F.lit(0.5))
-    return both.withColumns({"support_distance": far("support"), "resistance_distance": far("resistance")})
+    supports, resistances = F.when(~C("above"), C("level")), F.when(C("above"), C("level"))
+    both = last.join(recent.select("Ticker", "above", "level"), "Ticker", "left").groupBy("Ticker", "Close").agg(
+        F.coalesce(F.max(F.when(supports <= C("Close"), supports)), F.max(supports)).alias("support"), F.coalesce(F.min(F.when(resistances >= C("Close"), resistances)), F.min(resistances)).alias("resistance")
+    )
+    far = lambda x: F.greatest(F.least(F.coalesce(divide(x, C("Close")), F.lit(1.0)), F.lit(0.5)), F.lit(-0.5))
+    return both.withColumns({"support_distance": far(C("Close") - C("support")), "resistance_distance": far(C("resistance") - C("Close"))})

@@ -72,18 +72,18 @@ def with_trading_day(df: DataFrame) -> DataFrame:
     return df.withColumn("day", F.to_date(F.from_utc_timestamp(window["start"], "Asia/Kolkata"))).withColumn("published_ist", F.date_format(F.from_utc_timestamp("published", "Asia/Kolkata"), "yyyy-MM-dd HH:mm"))
 
 
-def lexicon_scorer(texts: pd.Series) -> pd.Series:
-    """Deterministic default: share of positive less share of negative words among the lexicon's, times 100."""
-
-    def score(text: str) -> float:
-        hits = [LEXICON[w] for w in (text or "").split() if w in LEXICON]
-        return round(100.0 * sum(hits) / len(hits), 2) if hits else 0.0
-
-    return texts.map(score).astype("float64")
-
-
-def score_sentiment(df: DataFrame, scorer: Callable[[pd.Series], pd.Series] = lexicon_scorer, column: str = "clean_title") -> DataFrame:
-    """``score`` of each item by a scorer of whole batches, such as a model that is loaded once per task."""
+def lexicon_score(text: Column, lexicon: dict[str, int] | None = None) -> Column:
+    """Share of positive less share of negative words among the lexicon's, times 100; 0 where none stands in the text."""
+    words = F.split(text, "[ \\t\\n\\x0B\\f\\r]+")
+    number = lambda sign: F.size(F.filter(words, lambda w: w.isin([k for k, v in (lexicon or LEXICON).items() if v == sign])))
+    good, bad = number(1), number(-1)
+    return F.round(F.coalesce(F.try_divide(100.0 * (good - bad), good + bad), F.lit(0.0)), 2)
+
+
+def score_sentiment(df: DataFrame, scorer: Callable[[pd.Series], pd.Series] | None = None, column: str = "clean_title", lexicon: dict[str, int] | None = None) -> DataFrame:
+    """``score`` of each item: by a lexicon, or by a scorer of whole batches, such as a model that is loaded once per task."""
+    if scorer is None:
+        return df.withColumn("score", lexicon_score(C(column), lexicon))
     schema = StructType([*df.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -104,20 +104,23 @@ def ltp_probability(df: DataFrame, step: float = 50.0) -> DataFrame:
 
 
 def score_legs(df: DataFrame, top: int = 5) -> DataFrame:
-    """The best legs of each chain, side and position by delta, decay, gamma, time, liquidity and return. Needs ``greeks``."""
+    """The best legs of each chain, side and position by delta, decay, gamma, time, liquidity and, if sold, return. Needs ``greeks``.
+
+    Decay is what a day costs. For a bought call it is taken with the sign that theta itself has, as in the rule's origin.
+    """
     sides = F.explode(F.array(*(
-        F.struct(F.lit(t).alias("type"), F.lit(p).alias("position"), C(f"{side}_price").alias("price"), F.abs(f"{name}_Delta").alias("delta"), (-C(f"{name}_Theta")).alias("theta"), F.abs(f"{name}_Gamma").alias("gamma"), F.abs(f"{name}_Vega").alias("vega"))
+        F.struct(F.lit(t).alias("type"), F.lit(p).alias("position"), C(f"{side}_price").alias("price"), F.abs(f"{name}_Delta").alias("delta"), ((1 if (t, p) == ("C", "long") else -1) * C(f"{name}_Theta")).alias("decay"), F.abs(f"{name}_Gamma").alias("gamma"))
         for t, side, name in (("C", "CE", "Call"), ("P", "PE", "Put")) for p in ("short", "long")
     )))
     legs = df.select(*CHAIN, "strike", "spot", "days", "oi", "volume", sides.alias("leg")).select(*CHAIN, "strike", "spot", "days", "oi", "volume", "leg.*")
     legs = legs.filter("price IS NOT NULL AND delta <> 0")
+    sold = C("position") == "short"
     margin = F.when(C("type") == "P", C("strike")).otherwise(3 * C("spot"))
-    decay = F.tanh(F.greatest(C("theta"), F.lit(0.0)) / 100)
-    time = F.when(C("days").between(7, 30), 1.0).otherwise(0.5)
-    liquid, calm = 0.5 * F.log1p(C("oi") + C("volume")), -F.tanh(C("gamma") / 0.02)
-    short = 2 * band_score(C("delta"), 0.1, 0.3, 0.1) + 1.5 * decay + calm + time + liquid + 3 * F.least(divide(100 * C("price"), margin), F.lit(1.0))
-    long = 2 * band_score(C("delta"), 0.3, 0.6, 0.1) - 1.5 * decay - calm + time + liquid + F.tanh(C("vega") / 10)
-    legs = legs.withColumn("score", F.when(C("position") == "short", short).otherwise(long))
+    delta = F.when(sold, band_score(C("delta"), 0.1, 0.3)).otherwise(band_score(C("delta"), 0.5, 0.7))
+    decay = F.when(sold, 1.5 * F.tanh(F.greatest(C("decay"), F.lit(0.0)) / 100)).otherwise(-F.tanh(C("decay") / 100))
+    time = F.when(C("days").between(F.lit(7), F.when(sold, 30).otherwise(45)), 1.0).otherwise(0.5)
+    gain = F.when(sold, 3 * F.least(divide(100 * C("price"), margin), F.lit(1.0))).otherwise(0.0)
+    legs = legs.withColumn("score", 2 * delta + decay - F.tanh(C("gamma") / 0.02) + time + 0.5 * F.log1p(C("oi") + C("volume")) + gain)
     best = Window.partitionBy(*CHAIN, "type", "position").orderBy(F.desc("score"), "strike")
     return legs.withColumn("rank", F.row_number().over(best)).filter(C("rank") <= top)
 

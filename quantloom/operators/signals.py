@@ -126,25 +126,29 @@ def entry_donchian_breakout(df: DataFrame) -> DataFrame:
     return df.withColumn("upper_before", lag("Donchian_Upper")).filter((F.lower("regime") != "bearish") & (C("Close") > C("upper_before"))).drop("upper_before")
 
 
-#: Weights of the features of ``move_probability``.
-WEIGHTS = {"trend": 1.0, "macd": 1.0, "rsi": 0.8, "roc": 0.6, "volume": 0.4, "range": 0.3, "support": 0.7, "resistance": -0.7}
+#: Weights of the features of ``move_probability``.
+WEIGHTS = {"vwappos": 2.0, "rsi_norm": 1.2, "macd_sign": 1.0, "macd_magnitude": 1.0, "atr_norm": -3.0, "vol_spike": 0.8, "dist_support": 2.5, "dist_resistance": -2.5}
 
 
-def move_probability(last: DataFrame, weights: dict[str, float] | None = None, bias: float = 0.0, long: float = 0.6, short: float = 0.4) -> DataFrame:
-    """``p_up`` from a weighted sum of eight bounded features of the last bar, and LONG, SHORT or WAIT."""
-    w = WEIGHTS if weights is None else weights
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
+def move_probability(last: DataFrame, weights: dict[str, float] | None = None, bias: float = 0.0, cut: float = 0.65) -> DataFrame:
+    """``p_up`` by a logistic curve over a weighted sum of eight features of the last bar, and LONG, SHORT or WAIT.
+
+    Needs ``VWAP, RSI_14, MACD, MACD_signal, ATR_14``, ``volume_median`` (of 20 bars) and the distances of ``nearest_levels``. The
+    nearer a level, the more it counts. Where a feature is missing so is ``p_up``, and the signal is WAIT.
+    """
+    w = WEIGHTS | (weights or {})
+    price, gap = C("Close"), C("MACD") - C("MACD_signal")
+    toward = lambda distance, ahead: (1 - F.abs(distance)) * F.when(ahead, 1).otherwise(-1)
     features = {
-        "trend": zero(F.tanh(divide(C("EMA_20") - C("EMA_50"), C("ATR_14")))), "macd": zero(F.tanh(divide(C("MACD") - C("MACD_signal"), C("ATR_14")))),
-        "rsi": zero((C("RSI_14") - 50) / 50), "roc": zero(F.tanh(C("ROC_5") / 5)), "volume": zero(F.tanh(divide(C("Volume"), C("volume_mean")) - 1)),
-        "range": zero(F.tanh(divide(C("Close") - C("Open"), C("ATR_14")))),
-        "support": 1 - 2 * zero(C("support_distance")), "resistance": 1 - 2 * zero(C("resistance_distance")),
+        "vwappos": divide(price - C("VWAP"), C("VWAP")), "rsi_norm": (C("RSI_14") - 50) / 50, "macd_sign": F.signum(gap), "macd_magnitude": gap / (F.abs(price) + 1e-9),
+        "atr_norm": divide(C("ATR_14"), price), "vol_spike": C("Volume") / (C("volume_median") + 1e-9) - 1,
+        "dist_support": toward(C("support_distance"), C("support_distance") >= 0), "dist_resistance": toward(C("resistance_distance"), C("resistance_distance") <= 0),
     }
     score = F.lit(bias)
     for name, x in features.items():
-        score = score + w.get(name, 0.0) * x
+        score = score + w[name] * x
     out = last.withColumn("p_up", sigmoid(score))
-    return out.withColumn("signal", F.when(C("p_up") >= long, "LONG").when(C("p_up") <= short, "SHORT").otherwise("WAIT"))
+    return out.withColumn("signal", F.when(C("p_up") > cut, "LONG").when(1 - C("p_up") > cut, "SHORT").otherwise("WAIT"))
 
 
 def last_with(df: DataFrame, *others: DataFrame) -> DataFrame:

@@ -32,9 +32,9 @@ def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sector of a ticker: the supplier's nation, for the suppliers with an even key, so that some have none."""
+    """Sector of a ticker: the supplier's nation."""
     joined = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return joined.filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("string").alias("Ticker"), F.col("n_name").alias("Sector"))
+    return joined.select(F.col("s_suppkey").cast("string").alias("Ticker"), F.col("n_name").alias("Sector"))
 
 
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +54,10 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News items from ``documents``: ``stock, title, link, published``."""
+    """News items from ``documents``, whole: ``stock, title, link, published``."""
     docs = table(spark, sf_dir, "documents")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    return docs.select(F.col("source").alias("stock"), F.substring("text", 1, 160).alias("title"), F.col("doc_id").cast("string").alias("link"), F.timestamp_seconds(F.unix_timestamp(start) + F.col("doc_id") * 37 * 60).alias("published"))
+    return docs.select(F.col("source").alias("stock"), F.col("text").alias("title"), F.col("doc_id").cast("string").alias("link"), F.timestamp_seconds(F.unix_timestamp(start) + F.col("doc_id") * 37 * 60).alias("published"))
 
 
 _BAR = """SELECT {t} AS Ticker, CAST(l_shipdate AS DATE) AS Date,
@@ -67,7 +67,7 @@ _BAR = """SELECT {t} AS Ticker, CAST(l_shipdate AS DATE) AS Date,
     sum(l_quantity) AS Volume FROM lineitem {w} GROUP BY ALL"""
 BARS = "bars AS (" + _BAR.format(t="CAST(l_suppkey AS VARCHAR)", w="") + ")"
 INDEX = "idx AS (" + _BAR.format(t="'ALL'", w="") + " UNION ALL " + _BAR.format(t="'R0'", w="WHERE l_suppkey IN (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0)") + ")"
-SECTORS = "sectors AS (SELECT CAST(s_suppkey AS VARCHAR) AS Ticker, n_name AS Sector FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0)"
+SECTORS = "sectors AS (SELECT CAST(s_suppkey AS VARCHAR) AS Ticker, n_name AS Sector FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
 CHAIN = """chain AS (
     SELECT o.underlying, expiry, strike, spot, size AS CE_iv, 51 - size AS PE_iv, greatest(spot - strike, 0.0) + size / 10 AS CE_price, greatest(strike - spot, 0.0) + size / 10 AS PE_price,
            coalesce(oi, 0)::DOUBLE AS oi, coalesce(volume, 0.0) AS volume
@@ -75,7 +75,7 @@ CHAIN = """chain AS (
                  min(p_partkey) AS p_partkey, arg_min(p_size, p_partkey)::DOUBLE AS size FROM part GROUP BY ALL) o
     JOIN (SELECT p_brand AS underlying, round(avg(p_retailprice), 2) AS spot FROM part GROUP BY ALL) USING (underlying)
     LEFT JOIN (SELECT l_partkey AS p_partkey, count(*) AS oi, sum(l_quantity) AS volume FROM lineitem GROUP BY ALL) USING (p_partkey))"""
-NEWS = "news AS (SELECT source AS stock, substring(text, 1, 160) AS title, CAST(doc_id AS VARCHAR) AS link, TIMESTAMP '2024-01-01 00:00:00' + doc_id * 37 * INTERVAL 1 MINUTE AS published FROM documents)"
+NEWS = "news AS (SELECT source AS stock, text AS title, CAST(doc_id AS VARCHAR) AS link, TIMESTAMP '2024-01-01 00:00:00' + doc_id * 37 * INTERVAL 1 MINUTE AS published FROM documents)"
 P = "PARTITION BY Ticker ORDER BY Date"
 
 

@@ -81,12 +81,30 @@ def o4_j6_ltp_probability(spark, sf_dir):
     return O.ltp_probability(chain(spark, sf_dir))
 
 
-@query()
+_BAND = "CASE WHEN delta BETWEEN {0} AND {1} THEN 1.0 ELSE greatest(0.0, 1 - least(abs(delta - {0}), abs(delta - {1})) / 0.02) END"
+_OPTION_LEGS = " UNION ALL ".join(
+    f"SELECT underlying, expiry, strike, spot, days, oi, volume, '{kind}' AS type, {side}_price AS price, abs({_cdf('d1')}{less}) AS delta, spot * {v} * {_PDF} / (2 * sqrt(T)) / 365 AS decay, {_PDF} / (spot * {v} * sqrt(T)) AS gamma FROM {source} WHERE d1 IS NOT NULL"
+    for kind, side, less, v, source in (("C", "CE", "", "v", "gc"), ("P", "PE", " - 1", "u", "gp"))
+)
+
+
+@query(f"""WITH {_GREEKS}, ol AS ({_OPTION_LEGS}), op AS (SELECT ol.*, unnest(['short', 'long']) AS position FROM ol WHERE delta <> 0),
+    os AS (SELECT *, CASE WHEN position = 'short' THEN 2 * ({_BAND.format(0.1, 0.3)}) + 1.5 * tanh(greatest(decay, 0.0) / 100) + CASE WHEN days BETWEEN 7 AND 30 THEN 1.0 ELSE 0.5 END + 3 * least(100 * price / CASE type WHEN 'P' THEN strike ELSE 3 * spot END, 1.0)
+        ELSE 2 * ({_BAND.format(0.5, 0.7)}) - tanh(CASE type WHEN 'C' THEN -decay ELSE decay END / 100) + CASE WHEN days BETWEEN 7 AND 45 THEN 1.0 ELSE 0.5 END END - tanh(gamma / 0.02) + 0.5 * ln(1 + oi + volume) AS score FROM op)
+    SELECT underlying, expiry, type, position, strike, score, CAST(row_number() OVER (PARTITION BY underlying, expiry, type, position ORDER BY score DESC, strike) AS INT) AS rank FROM os QUALIFY rank <= 5""", "score", 5)
 def o5_t2_score_legs(spark, sf_dir):
     return O.score_legs(O.greeks(chain(spark, sf_dir), AS_OF)).select("underlying", "expiry", "type", "position", "strike", "score", "rank")
 
 
-@query()
+_NEAR = "arg_min({0}, abs(strike - ({1})) * 1e6 + strike)"
+_ENDS = {"short_put": "atm - move", "long_put": "atm - 2.5 * move", "short_call": "atm + move", "long_call": "atm + 2.5 * move"}
+
+
+@query(f"""WITH {CHAIN}, ia AS (SELECT underlying, expiry, any_value(spot) AS spot, arg_min(strike, abs(strike - spot) * 1e6 + strike) AS atm, arg_min(PE_iv, abs(strike - spot) * 1e6 + strike) AS iv FROM chain GROUP BY ALL),
+    im AS (SELECT *, round_even(spot * iv / 100 * sqrt(7 / 252.0::DOUBLE) / 100, 0) * 100 AS move FROM ia),
+    il AS (SELECT im.underlying, im.expiry, im.spot, atm, iv, move, {', '.join(f"{_NEAR.format('strike', x)} AS {n}, {_NEAR.format('PE_price' if 'put' in n else 'CE_price', x)} AS {n}_price" for n, x in _ENDS.items())} FROM im JOIN chain ON im.underlying = chain.underlying AND im.expiry = chain.expiry GROUP BY ALL),
+    ic AS (SELECT underlying, expiry, {', '.join(f'{n}, {n}_price' for n in _ENDS)}, short_put_price + short_call_price AS credit, greatest(short_put - long_put, long_call - short_call) AS max_loss FROM il)
+    SELECT *, coalesce(credit / nullif(max_loss, 0), 0) AS roi, CAST(row_number() OVER (PARTITION BY underlying ORDER BY coalesce(credit / nullif(max_loss, 0), 0) DESC, expiry) AS INT) AS rank FROM ic""", "credit max_loss roi short_put_price long_put_price short_call_price long_call_price")
 def o6_iron_condor(spark, sf_dir):
     return O.iron_condor(chain(spark, sf_dir))
 
@@ -150,11 +168,27 @@ def x5_n7_categories(spark, sf_dir):
     return plain.select("stock", "link", N.categorize(C("title")).alias("category"))
 
 
-@query()
+_SPACES = r"\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_LETTERS = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}"
+#: Signs for words of the invented prose, which has none of the default lexicon.
+PROSE = {"the": 1, "and": 1, "der": 1, "que": 1, "les": 1, "of": -1, "die": -1, "de": -1, "la": -1}
+_SIGNED = lambda sign: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{k}'" for k, v in PROSE.items() if v == sign) + ")))"
+_CLEAN = f"""{NEWS}, nc AS (SELECT stock, link, published, trim(lower(regexp_replace(regexp_replace(regexp_replace(title, '[^{_LETTERS}{_SPACES}]', '', 'g'), '\\p{{Nd}}{{1,2}}[{_SPACES}][{_LETTERS}]+[{_SPACES}]\\p{{Nd}}{{4}}', '', 'g'), '[â€™”“œ\\x{{9d}}¦]', chr(39), 'g'))) AS title
+        FROM news WHERE title IS NOT NULL AND stock IS NOT NULL),
+    nw AS (SELECT stock, link, published, title AS clean_title, CASE {_CATEGORY} ELSE 'general' END AS category, string_split_regex(title, '[ \\t\\n\\x0b\\f\\r]+') AS w FROM nc),
+    sn AS (SELECT stock, link, published, clean_title, category, CASE category {' '.join(f"WHEN '{k}' THEN {v}" for k, v in N.WEIGHTS.items())} END::DOUBLE AS weight, round(coalesce(100.0 * ({_SIGNED(1)} - {_SIGNED(-1)}) / nullif({_SIGNED(1)} + {_SIGNED(-1)}, 0), 0) + 1e-8, 2) AS score FROM nw)"""
+
+
+@query(f"WITH {_CLEAN} SELECT link, clean_title FROM sn")
 def x4_clean_text(spark, sf_dir):
     return _prepared(spark, sf_dir).select("link", "clean_title")
 
 
+@query(f"WITH {_CLEAN} SELECT link, category, weight FROM sn", "weight")
+def x7_weights(spark, sf_dir):
+    return _prepared(spark, sf_dir).select("link", "category", "weight")
+
+
 @query(f"WITH {NEWS} SELECT link, lower(regexp_extract(title, '(?i)(the|with|eine|pour)', 1)) AS keyword FROM news WHERE regexp_matches(title, '(?i)(the|with|eine|pour)')")
 def x6_keyword_filter(spark, sf_dir):
     return N.keyword_filter(news(spark, sf_dir), ["the", "with", "eine", "pour"]).select("link", "keyword")
@@ -171,31 +205,28 @@ def n2_x2_trading_day(spark, sf_dir):
 
 
 def _scored_news(spark, sf_dir):
-    # the invented prose has no words of the lexicon: a score from the link stands in for a model's
-    return news(spark, sf_dir).withColumns({"score": (C("link").cast("long") * 37 % 201 - 100).cast("double"), "weight": 1.0 + C("link").cast("long") % 5})
+    scored = N.score_sentiment(_prepared(spark, sf_dir), lexicon=PROSE)
+    return scored.withColumn("score", F.round(C("score") + 1e-8, 2))
 
 
-_SCORED_NEWS = f"{NEWS}, sn AS (SELECT *, CAST(CAST(link AS BIGINT) * 37 % 201 - 100 AS DOUBLE) AS score, 1.0::DOUBLE + CAST(link AS BIGINT) % 5 AS weight FROM news)"
-
-
-@query(f"WITH {_SCORED_NEWS} SELECT stock, round(avg(score) + 1e-8, 2) AS mean_score, round(avg(score * weight) + 1e-8, 2) AS mean_weighted, round(avg(weight) + 1e-8, 2) AS mean_weight, count(*) AS items FROM sn GROUP BY stock")
+@query(f"WITH {_CLEAN} SELECT stock, round(avg(score), 2) AS mean_score, round(avg(score * weight), 2) AS mean_weighted, round(avg(weight), 2) AS mean_weight, count(*) AS items FROM sn GROUP BY stock")
 def n4_sentiment_by_stock(spark, sf_dir):
     return N.sentiment_by(_scored_news(spark, sf_dir), ["stock"])
 
 
-@query(f"WITH {_SCORED_NEWS}, m AS (SELECT round(sum(score * weight) / sum(weight), 2) AS market_index FROM sn) SELECT market_index, CASE WHEN market_index <= -50 THEN 'Very Negative' WHEN market_index <= -10 THEN 'Negative' WHEN market_index < 10 THEN 'Neutral' WHEN market_index < 50 THEN 'Positive' ELSE 'Very Positive' END AS mood FROM m")
+@query(f"WITH {_CLEAN}, m AS (SELECT round(sum(score * weight) / sum(weight), 2) AS market_index FROM sn) SELECT market_index, CASE WHEN market_index <= -50 THEN 'Very Negative' WHEN market_index <= -10 THEN 'Negative' WHEN market_index < 10 THEN 'Neutral' WHEN market_index < 50 THEN 'Positive' ELSE 'Very Positive' END AS mood FROM m")
 def n5_x8_market_index(spark, sf_dir):
     return N.market_index(_scored_news(spark, sf_dir))
 
 
-@query(f"WITH {_SCORED_NEWS} SELECT stock, CAST(published - INTERVAL 225 MINUTE AS DATE) AS day, avg(score) AS mean_score, avg(score * weight) AS mean_weighted, count(*) AS items FROM sn GROUP BY ALL", "mean_score mean_weighted")
+@query(f"WITH {_CLEAN} SELECT stock, CAST(published - INTERVAL 225 MINUTE AS DATE) AS day, avg(score) AS mean_score, avg(score * weight) AS mean_weighted, count(*) AS items FROM sn GROUP BY ALL", "mean_score mean_weighted")
 def g1_n6_news_daily(spark, sf_dir):
     return streams.stream_news_daily(_scored_news(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_CLEAN} SELECT link, score FROM sn", "score")
 def n3_sentiment_score(spark, sf_dir):
-    return N.score_sentiment(_prepared(spark, sf_dir).select("link", "stock", "clean_title", "weight")).select("link", "score")
+    return _scored_news(spark, sf_dir).select("link", "score")
 
 
 def _ticks(df):
@@ -226,10 +257,10 @@ def _is_folder(spark, path):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-@query(f"WITH {BARS} SELECT Ticker, CAST(Date AS TIMESTAMP) AS Date, Open, High, Low, Close, Volume FROM bars WHERE Volume > 40")
+@query(f"WITH {BARS} SELECT Ticker, CAST(Date AS TIMESTAMP) AS Date, Open, High, Low, Close, Volume FROM bars")
 def io1_io8_csv_round_trip(spark, sf_dir):
     out = files.shared_folder(spark, "csv")
-    files.write_table(bars(spark, sf_dir).filter("Volume > 40").withColumn("Date", C("Date").cast("timestamp")), out, format="csv")
+    files.write_table(bars(spark, sf_dir).withColumn("Date", C("Date").cast("timestamp")), out, format="csv")
     return files.read_bars(spark, out)
 
 

@@ -13,7 +13,7 @@ from quantloom.operators import regime as G
 from quantloom.operators import signals as S
 from quantloom.operators import windows as W
 from quantloom.plans.inputs import BARS, INDEX, SECTORS, P, bars, ewm, frame, full, index_bars, sectors
-from quantloom.plans.q_bars import _BB, ALL, KEY, TR, over
+from quantloom.plans.q_bars import _BB, _LAGGED, ALL, KEY, TR, over
 from quantloom.plans.registry import query
 
 C = F.col
@@ -86,10 +86,11 @@ def j1_p7_join_index(spark, sf_dir):
     return X.index_relatives(X.join_index(bars(spark, sf_dir), _index(spark, sf_dir))).select(*KEY, "Close", "NIFTY_Trend", "Close_vs_NIFTY_Close", "Close_vs_BANKNIFTY_Close")
 
 
-@query(f"WITH {BARS}, {INDEX} SELECT coalesce(a.Date, b.Date) AS Date, a.Ticker, a.Close, b.Close AS nifty50_Close FROM (SELECT * FROM bars WHERE Ticker = '1') a FULL JOIN (SELECT * FROM idx WHERE Ticker = 'ALL') b ON a.Date = b.Date")
+@query(f"WITH {BARS}, {INDEX}, b AS (SELECT CAST(Date + 30 AS DATE) AS Date, Close FROM idx WHERE Ticker = 'ALL') SELECT coalesce(a.Date, b.Date) AS Date, a.Ticker, a.Close, b.Close AS nifty50_Close FROM bars a FULL JOIN b ON a.Date = b.Date")
 def j3_outer_with_regime(spark, sf_dir):
-    one = bars(spark, sf_dir).filter("Ticker = '1'").select(*KEY, "Close")
-    return X.outer_with_regime(one, index_bars(spark, sf_dir).filter("Ticker = 'ALL'").select(*KEY, "Close"))
+    # the index as of 30 days later, so that some dates stand on one side only
+    ahead = index_bars(spark, sf_dir).filter("Ticker = 'ALL'").select(F.date_add("Date", 30).alias("Date"), "Close")
+    return X.outer_with_regime(bars(spark, sf_dir).select(*KEY, "Close"), ahead)
 
 
 @query(f"WITH {BARS}, {SECTORS}, n AS (SELECT bars.Ticker, Date, coalesce(Sector, 'OTHERS') AS Sector FROM bars LEFT JOIN sectors ON bars.Ticker = sectors.Ticker) SELECT *, CAST(dense_rank() OVER (ORDER BY Sector) - 1 AS INT) AS Sector_code FROM n")
@@ -197,7 +198,18 @@ def r5_transition_matrix(spark, sf_dir):
 @query()
 def r7_r8_forecast(spark, sf_dir):
     found = G.regime_5(suite(spark, sf_dir)).select(*KEY, C("regime_5").alias("regime"))
-    return G.append_forecast(found, G.forecast_distribution(G.transition_matrix(found), "Neutral", 15))
+    return G.append_forecast(found, G.forecast(found, 15, G.recent_share(found)))
+
+
+@query(f"{_BASE}, r AS (SELECT Ticker, Date, {_R5} AS regime FROM s_s), p AS (SELECT Date, lag(regime) OVER ({P}) AS before, regime AS after FROM r), b AS (SELECT before, after AS likely FROM p WHERE before IS NOT NULL AND Date < DATE '1996-01-01' GROUP BY before, after QUALIFY row_number() OVER (PARTITION BY before ORDER BY count(*) DESC, after) = 1) SELECT count(*) AS n, count(*) FILTER (likely = after) AS hits, count(*) FILTER (likely = after) / count(*) AS accuracy FROM p LEFT JOIN b ON p.before = b.before WHERE p.before IS NOT NULL AND Date >= DATE '1996-01-01'", "accuracy")
+def r9_next_state_accuracy(spark, sf_dir):
+    return G.next_state_accuracy(G.regime_5(suite(spark, sf_dir)), "1996-01-01", "regime_5")
+
+
+@query(f"{_BASE} SELECT Ticker, Date, CASE {_R5} WHEN 'Bearish' THEN -1 WHEN 'Bullish' THEN 1 WHEN 'High Volatility' THEN 2 ELSE 0 END AS regime_5_code FROM s_s WHERE rn > 1")
+def p9_regime_code(spark, sf_dir):
+    rows = G.regime_5(suite(spark, sf_dir)).withColumn("rn", F.row_number().over(W.by_date())).filter("rn > 1")
+    return X.regime_code(rows, "regime_5").select(*KEY, "regime_5_code")
 
 
 @query(f"{_BASE}, r AS (SELECT Ticker, Date, {_R5} AS regime FROM s_s) SELECT regime, count(*) AS n FROM r GROUP BY regime")
@@ -245,7 +257,15 @@ def f7_j7_atr_zones(spark, sf_dir):
     return V.atr_zones(bars(spark, sf_dir)).select("Ticker", "zone_rank", "low", "high", "touches", "strength")
 
 
-@query()
+_PIVOTS = f"""pv AS (SELECT *, Close = CASE WHEN count(*) OVER w >= 11 THEN max(Close) OVER w END AS hi, Close = CASE WHEN count(*) OVER w >= 11 THEN min(Close) OVER w END AS lo FROM bars WINDOW w AS ({P} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+    pr AS (SELECT Ticker, Date, hi, CASE WHEN hi THEN High ELSE Low END AS level FROM pv WHERE hi OR lo QUALIFY row_number() OVER (PARTITION BY Ticker ORDER BY Date DESC) <= 250),
+    pn AS (SELECT Ticker, hi, level FROM pr GROUP BY Ticker, hi, level QUALIFY row_number() OVER (PARTITION BY Ticker, hi ORDER BY max(Date) DESC) <= 5),
+    nc AS (SELECT Ticker, arg_max(Close, Date) AS Close FROM bars GROUP BY Ticker),
+    nl AS (SELECT nc.Ticker, nc.Close, coalesce(max(level) FILTER (NOT hi AND level <= nc.Close), max(level) FILTER (NOT hi)) AS support, coalesce(min(level) FILTER (hi AND level >= nc.Close), min(level) FILTER (hi)) AS resistance FROM nc LEFT JOIN pn ON nc.Ticker = pn.Ticker GROUP BY ALL),
+    nd AS (SELECT *, greatest(least(coalesce((Close - support) / Close, 1.0), 0.5), -0.5) AS support_distance, greatest(least(coalesce((resistance - Close) / Close, 1.0), 0.5), -0.5) AS resistance_distance FROM nl)"""
+
+
+@query(f"WITH {BARS}, {_PIVOTS} SELECT * FROM nd", "support_distance resistance_distance")
 def f8_nearest_levels(spark, sf_dir):
     return V.nearest_levels(bars(spark, sf_dir))
 
@@ -301,10 +321,11 @@ def s8_high_volatility(spark, sf_dir):
     return S.screen_high_volatility(_last(spark, sf_dir)).select(*KEY)
 
 
-@query()
+@query(f"{_BASE}, {_PIVOTS} SELECT s_s.Ticker, Date FROM s_s LEFT JOIN nd ON s_s.Ticker = nd.Ticker WHERE EMA_20 > EMA_50 AND MACD > MACD_signal AND RSI_14 BETWEEN 40 AND 60 AND K > D AND s_s.Close > VWAP AND Volume > volume_mean AND (support IS NULL OR s_s.Close >= support)")
 def s9_multi_confluence(spark, sf_dir):
-    weakest = V.zones(V.zigzag(bars(spark, sf_dir))).groupBy("Ticker").agg(F.max_by("low", "zone_rank").alias("zone_low"))
-    return S.screen_multi_confluence(_last(spark, sf_dir).join(weakest, "Ticker", "left")).select(*KEY)
+    # over all bars, for few last ones fulfil all conditions
+    support = V.nearest_levels(bars(spark, sf_dir)).select("Ticker", C("support").alias("zone_low"))
+    return S.screen_multi_confluence(S.with_screen_columns(suite(spark, sf_dir)).join(support, "Ticker", "left")).select(*KEY)
 
 
 @query(f"{_LAST} SELECT Ticker, Date, Volume FROM la WHERE Volume >= volume_mean * 1.8")
@@ -330,7 +351,13 @@ def s13_signal_d(spark, sf_dir):
     return S.signal_d(suite(spark, sf_dir)).filter("take_trade").select(*KEY)
 
 
-@query()
+_ENTRIES = f"""{_BASE}, {_LAGGED}, en AS (SELECT s_s.*, {_R5} AS regime, {full('max', 'High', 20)} AS up, {full('min', 'Low', 20)} AS dn FROM s_s),
+    eb AS (SELECT en.*, lag(up) OVER (PARTITION BY en.Ticker ORDER BY en.Date) AS up1, (up + dn) / 2 AS mid, coalesce(c1 < o1 AND lg.Close > lg.Open AND lg.Close > o1 AND lg.Open < c1, false)
+        OR (size > 3 * body AND (lg.Close - lg.Low) / (1e-6 + lg.High - lg.Low) > 0.6 AND (lg.Open - lg.Low) / (1e-6 + lg.High - lg.Low) > 0.6) OR coalesce(c2 < o2 AND abs(c1 - o1) <= 0.3 * (h1 - l1) AND lg.Close > (o2 + c2) / 2, false) AS pattern FROM en JOIN lg ON en.Ticker = lg.Ticker AND en.Date = lg.Date)"""
+
+
+@query(f"""{_ENTRIES} SELECT Ticker, Date, 'pattern' AS entry FROM eb WHERE regime = 'Bullish' AND pattern UNION ALL SELECT Ticker, Date, 'pullback' FROM eb WHERE regime = 'Bullish' AND Close <= dn * (1 + 0.02) AND Close > Open
+    UNION ALL SELECT Ticker, Date, 'neutral' FROM eb WHERE regime = 'Neutral' AND Close > mid AND RSI_14 > 50 UNION ALL SELECT Ticker, Date, 'non_bearish' FROM eb WHERE regime <> 'Bearish' AND Close > mid UNION ALL SELECT Ticker, Date, 'breakout' FROM eb WHERE regime <> 'Bearish' AND Close > up1""")
 def s14_entries(spark, sf_dir):
     df = W.candle_patterns(W.donchian(G.regime_5(suite(spark, sf_dir)).withColumnRenamed("regime_5", "regime")))
     kinds = {"pattern": S.entry_regime_pattern, "pullback": S.entry_donchian_pullback, "neutral": S.entry_neutral, "non_bearish": S.entry_non_bearish, "breakout": S.entry_donchian_breakout}
@@ -341,19 +368,22 @@ def s14_entries(spark, sf_dir):
     return out
 
 
-@query()
+_MOVE = f"""{_BASE}, {_PIVOTS}, mv AS (SELECT s_s.*, quantile_cont(Volume, 0.5) OVER {frame(20)} AS vm FROM s_s QUALIFY row_number() OVER (PARTITION BY Ticker ORDER BY Date DESC) = 1),
+    mp AS (SELECT mv.Ticker, Date, 1 / (1 + exp(-(2.0 * (mv.Close - VWAP) / VWAP + 1.2 * (RSI_14 - 50) / 50 + sign(MACD - MACD_signal) + (MACD - MACD_signal) / (abs(mv.Close) + 1e-9) - 3.0 * ATR_14 / mv.Close + 0.8 * (Volume / (vm + 1e-9) - 1)
+        + 2.5 * (1 - abs(support_distance)) * CASE WHEN support_distance >= 0 THEN 1 ELSE -1 END - 2.5 * (1 - abs(resistance_distance)) * CASE WHEN resistance_distance <= 0 THEN 1 ELSE -1 END))) AS p_up FROM mv JOIN nd ON mv.Ticker = nd.Ticker)"""
+
+
+@query(f"{_MOVE} SELECT *, CASE WHEN p_up > 0.65 THEN 'LONG' WHEN 1 - p_up > 0.65 THEN 'SHORT' ELSE 'WAIT' END AS signal FROM mp", "p_up", 5)
 def s15_move_probability(spark, sf_dir):
-    b = bars(spark, sf_dir)
-    roc = W.momentum(b).select(*KEY, "ROC_5")
-    last = S.last_with(S.with_screen_columns(suite(spark, sf_dir)).join(roc, KEY), V.nearest_levels(b).drop("Close"))
+    last = S.last_with(W.volume_ratio(suite(spark, sf_dir)), V.nearest_levels(bars(spark, sf_dir)).drop("Close"))
     return S.move_probability(last).select(*KEY, "p_up", "signal")
 
 
 def _outcomes(spark, sf_dir):
-    return L.bracket_outcome(bars(spark, sf_dir).filter("Volume > 30"))
+    return L.bracket_outcome(bars(spark, sf_dir))
 
 
-_BT = f"""WITH {BARS.replace('GROUP BY ALL)', 'GROUP BY ALL HAVING sum(l_quantity) > 30)')}, {_OUT}, v AS (SELECT *, o IN ('TP_HIT', 'SL_HIT') AS valid, CASE WHEN o = 'TP_HIT' THEN (tp - Close) / Close WHEN o = 'SL_HIT' THEN (sl - Close) / Close END AS gain FROM oc),
+_BT = f"""WITH {BARS}, {_OUT}, v AS (SELECT *, o IN ('TP_HIT', 'SL_HIT') AS valid, CASE WHEN o = 'TP_HIT' THEN (tp - Close) / Close WHEN o = 'SL_HIT' THEN (sl - Close) / Close END AS gain FROM oc),
     dy AS (SELECT Date, count(*) FILTER (valid) AS nv, 1 + coalesce(sum(gain) / nullif(count(*) FILTER (valid), 0), 0) AS f FROM v GROUP BY Date), eq AS (SELECT Date, nv, exp(sum(ln(f)) OVER (ORDER BY Date)) AS e FROM dy), e2 AS (SELECT *, coalesce(lag(e) OVER (ORDER BY Date), 1.0) AS b FROM eq),
     tr AS (SELECT Ticker, v.Date, o, gain, 100 * gain AS pnl_percent, CASE WHEN gain IS NOT NULL THEN b / nv * gain END AS trade_pnl, ln(e) AS log_equity FROM v JOIN e2 ON v.Date = e2.Date)"""
 
@@ -364,9 +394,9 @@ def ag1_bracket_backtest(spark, sf_dir):
     return found.select(*KEY, "future_bracket_outcome", "pnl_percent", F.log("cumulative_equity").alias("log_equity"))
 
 
-@query(f"{_BT} SELECT count(*) AS signals, count(*) FILTER (o = 'TP_HIT') AS tp_hit, count(*) FILTER (o = 'SL_HIT') AS sl_hit, count(*) FILTER (o = 'BOTH') AS both, count(*) FILTER (o = 'NONE') AS none, count(trade_pnl) AS trades, 100.0 * count(*) FILTER (trade_pnl > 0) / count(trade_pnl) AS win_rate FROM tr", "win_rate")
+@query(f"{_BT} SELECT count(*) AS signals, count(*) FILTER (o = 'TP_HIT') AS tp_hit, count(*) FILTER (o = 'SL_HIT') AS sl_hit, count(*) FILTER (o = 'BOTH') AS both, count(*) FILTER (o = 'NONE') AS none, count(trade_pnl) AS trades, 100.0 * count(*) FILTER (trade_pnl > 0) / count(trade_pnl) AS win_rate, avg(trade_pnl) AS expectancy, max(trade_pnl) AS max_win, min(trade_pnl) AS max_loss, sum(trade_pnl) AS total_pnl FROM tr", "win_rate expectancy max_win max_loss total_pnl", 5)
 def ag2_pnl_summary(spark, sf_dir):
-    return E.pnl_summary(E.bracket_backtest(_outcomes(spark, sf_dir), 1.0)).drop("expectancy", "max_win", "max_loss", "total_pnl")
+    return E.pnl_summary(E.bracket_backtest(_outcomes(spark, sf_dir), 1.0))
 
 
 @query(over("outcome, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS std, min(r) AS min, quantile_cont(r, 0.25) AS p25, quantile_cont(r, 0.5) AS p50, quantile_cont(r, 0.75) AS p75, max(r) AS max FROM (SELECT CASE WHEN hit.h >= up THEN 'Target' WHEN hit.l <= st THEN 'Stop' WHEN len(ah) > 0 THEN 'Time' END AS outcome, CASE WHEN hit.h >= up THEN up WHEN hit.l <= st THEN st ELSE ah[-1].c END / Close - 1 AS r FROM ht) GROUP BY outcome --", "ht", _TRADE), "mean std min p25 p50 p75 max")

@@ -41,6 +41,12 @@ def test_equals_sql(spark, duck, data, name):
     assert in_order([tuple(plain(r[c]) for c in columns) for r in found.collect()]) == in_order(wanted)
 
 
+def test_entry_has_rows(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(set(library.QUERIES) - set(library.ORACLES) - {"m3_grid_search", "r6_regime_forest"}))
 def test_runs_without_sql(spark, data, name):
     found = library.QUERIES[name](spark, data)

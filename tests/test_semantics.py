@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import bars, evaluate, labels, levels, news, options, recursive, regime, windows
+from quantloom.operators import bars, context, evaluate, labels, levels, news, options, recursive, regime, windows
 from quantloom.sources import files
 from quantloom.streaming import streams
 
@@ -70,10 +70,35 @@ def test_stateful_regime_holds_a_trend(spark):
 
 def test_forecast_rows_fall_on_business_days(spark):
     df = spark.createDataFrame([("A", date(2024, 1, 5), "Bullish")], "Ticker string, Date date, regime string")
-    out = regime.append_forecast(df, [(1, "Bullish", 1.0), (2, "Bearish", 1.0)]).orderBy("Date").collect()
+    out = regime.append_forecast(df, spark.createDataFrame([("A", 1, "Bullish", 1.0), ("A", 2, "Bearish", 1.0)], "Ticker string, day int, regime string, p double")).orderBy("Date").collect()
     assert [(r["Date"].isoformat(), r["regime"]) for r in out[1:]] == [("2024-01-08", "Bullish"), ("2024-01-09", "Bearish")]
 
 
+def test_forecast_moves_each_ticker_by_its_own_transitions(spark):
+    rows = [("A", date(2024, 1, k + 1), x) for k, x in enumerate("UUDUDDUUDU")] + [("B", date(2024, 1, k + 1), x) for k, x in enumerate("DDD")] + [("C", date(2024, 1, 1), "U")]
+    df = spark.createDataFrame(rows, "Ticker string, Date date, regime string")
+    share = spark.createDataFrame([("A", "D", 0.7), ("A", "U", 0.3)], "Ticker string, regime string, share double")
+    plain = {(r["Ticker"], r["day"], r["regime"]): r["p"] for r in regime.forecast(df, 2).collect()}
+    p = {"U": {"U": 2 / 5, "D": 3 / 5}, "D": {"U": 3 / 4, "D": 1 / 4}}  # counted by hand
+    assert plain["A", 1, "D"] == pytest.approx(3 / 5) and plain["A", 2, "D"] == pytest.approx(2 / 5 * 3 / 5 + 3 / 5 * 1 / 4)
+    assert plain["B", 2, "D"] == 1 and plain["C", 1, "U"] == 1
+    blended = {(r["Ticker"], r["day"], r["regime"]): r["p"] for r in regime.forecast(df, 2, share).collect()}
+    one = {x: 0.3 * p["U"][x] + 0.7 * {"D": 0.7, "U": 0.3}[x] for x in "UD"}
+    assert blended["A", 1, "D"] == pytest.approx(one["D"]) and blended["A", 2, "U"] == pytest.approx(0.3 * (one["U"] * p["U"]["U"] + one["D"] * p["D"]["U"]) + 0.7 * 0.3)
+
+
+def test_stocks_without_a_sector(spark):
+    b = series(spark, [1]).unionByName(series(spark, [1], "B"))
+    found = context.add_sector(b, spark.createDataFrame([("A", "X")], "Ticker string, Sector string"))
+    assert [(r["Sector"], r["Sector_code"]) for r in found.orderBy("Ticker").collect()] == [("X", 1), ("OTHERS", 0)]
+
+
+def test_scorers_of_batches(spark):
+    df = spark.createDataFrame([("gain gain loss",), ("none",), (None,)], "clean_title string")
+    assert [r["score"] for r in news.score_sentiment(df).collect()] == [33.33, 0.0, 0.0]
+    assert [r["score"] for r in news.score_sentiment(df, lambda x: x.str.len().fillna(0).astype(float)).collect()] == [14.0, 4.0, 0.0]
+
+
 def test_zigzag_of_a_saw(spark):
     found = levels.zigzag(series(spark, [1, 5, 1, 5, 1, 5, 1]), distance=1, prominence=1.0).orderBy("Date").collect()
     assert [r["kind"] for r in found] == ["peak", "trough", "peak", "trough", "peak"]

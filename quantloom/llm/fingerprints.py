@@ -15,6 +15,9 @@ those named are ignored.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from quantloom.llm.common import text_of
 
 #: Hashes of a sketch.
 K = 256
+#: Characters of the texts of a range, about.
+RANGE_CHARS = 16_000_000
 #: Hashes are signed 64-bit integers; this many lie between the least and the greatest.
 SPAN = 2.0**64
 
@@ -74,20 +79,34 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), both / distinct_shingles(a, k)))
 
 
-def with_next(docs: DataFrame, buckets: int) -> DataFrame:
+def _literal(values: list[int]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def _number_above(edges: list[int], x: Column) -> Column:
+    """How many of the descending ``edges`` lie above ``x``: first among every n-th of them, then within one run of n."""
+    step = max(1, math.isqrt(len(edges)))
+    above = lambda own: F.size(F.filter(own, lambda e: e > x))
+    run = (F.greatest(above(_literal(edges[::step])) - 1, F.lit(0)) * step).cast("int")
+    return run + above(F.slice(_literal(edges), run + 1, step))
+
+
+def with_next(docs: DataFrame, least_ranges: int) -> DataFrame:
     """Every row's ``doc_id, text`` and the ``next_text`` by descending ``doc_id`` (nulls last), after the last the first;
     with ``range`` and ``copy``, by which rows that are only copies can be told.
 
     Rows are dealt by ranges of ``doc_id`` that hold about as many rows each, so that a window finds the next one in the
-    same range; of each range's first row a copy goes to the range before. The driver sees the ranges' bounds only.
-    Rows of one ``doc_id`` are ordered by their text's hash.
+    same range; of each range's first row a copy goes to the range before. There are as many ranges as the texts have times
+    ``RANGE_CHARS`` characters, at least ``least_ranges``. The driver sees the ranges' bounds only. Rows of one ``doc_id`` are
+    ordered by their text's hash.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    chars = rows.agg(F.sum(F.char_length("text").cast("long")).alias("n")).first()["n"] or 0
+    buckets = max(least_ranges, -(-chars // RANGE_CHARS))
     shares = [i / buckets for i in range(1, buckets)]
-    bounds = rows.agg(F.percentile_approx("doc_id", shares, 10_000).alias("p")).first()["p"] if shares else []
+    bounds = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 8 * buckets)).alias("p")).first()["p"] if shares else []
     edges = sorted(set(bounds or []), reverse=True)  # a range ends where the next bound is passed; null ids fall in the last
-    cuts = F.array(*(F.lit(x) for x in edges)).cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(edges))).otherwise(F.size(F.filter(cuts, lambda x: x > F.col("doc_id"))))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(edges))).otherwise(_number_above(edges, F.col("doc_id")))
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h")).withColumn("bucket", bucket)
     key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), (-F.col("h").cast("decimal(20,0)")).alias("h"))
@@ -117,9 +136,9 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
 
 
-def compare_with_next(docs: DataFrame, buckets: int, k: int = K, shingle_words: int = 5) -> DataFrame:
+def compare_with_next(docs: DataFrame, least_ranges: int, k: int = K, shingle_words: int = 5) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, sketch, edited_sketch, next_sketch`` of every row."""
-    rows = with_next(docs, buckets).withColumn("edited", edited(F.col("text"), F.col("next_text"))).drop("next_text")
+    rows = with_next(docs, least_ranges).withColumn("edited", edited(F.col("text"), F.col("next_text"))).drop("next_text")
     rows = rows.withColumn("sketch", sketch(F.col("text"), k, shingle_words)).withColumn("edited_sketch", sketch(F.col("edited"), k, shingle_words))
     rows = rows.withColumn("next_sketch", F.lead("sketch").over(following())).filter("NOT copy")
     return rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "edited_sketch", "next_sketch")

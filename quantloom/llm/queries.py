@@ -16,8 +16,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), 1024)
-    found = fingerprints.compare_with_next(table(spark, sf_dir, "documents"), buckets)
+    found = fingerprints.compare_with_next(table(spark, sf_dir, "documents"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return found.select(
         "doc_id", "n_chars", "edited_sha256",
@@ -53,7 +52,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    more = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{hard}'), (-7L, 1L, 'assistant', '{hard}') AS t(conv_id, turn, role, text)")
     found = chat.format_conversations(rows.unionByName(more))
     found = found.withColumns({"formatted": chat.formatted_text(F.col("segments")), "loss": chat.loss_text(F.col("segments"))})
     found = found.withColumn("turns", chat.read_turns(F.col("formatted")))

@@ -19,7 +19,8 @@ C = F.col
 class Average:
     """An exponential average of ``column``: weight ``alpha`` of the newest value, null until ``min_periods`` values are there.
 
-    ``seed`` "first" starts from the first value, "sma" from the mean of the first ``min_periods``.
+    ``seed`` "first" starts from the first value, "sma" from the mean of the first ``min_periods``. ``column`` can be an average
+    listed before, and with ``minus`` the average is of the difference of two columns.
     """
 
     name: str
@@ -28,6 +29,7 @@ class Average:
     min_periods: int = 1
     seed: str = "first"
     adjust: bool = False
+    minus: str | None = None
 
 
 def span(name: str, n: int, column: str = "Close", **more) -> Average:
@@ -52,14 +54,17 @@ def _average(x: pd.Series, a: Average) -> pd.Series:
 
 
 def averages(df: DataFrame, wanted: list[Average]) -> DataFrame:
-    """Add every average of ``wanted``. A ticker's bars are one group; only the columns needed go through Python."""
-    needed = list(dict.fromkeys(a.column for a in wanted))
+    """Add every average of ``wanted``. A ticker's bars are one group, and every column goes through Python: so this
+    comes before what adds columns."""
     schema = StructType([df.schema["Ticker"], df.schema["Date"], *(df.schema[c] for c in df.columns if c not in ("Ticker", "Date")), *(StructField(a.name, DoubleType()) for a in wanted)])
 
     def run(bars: pd.DataFrame) -> pd.DataFrame:
         bars = bars.sort_values("Date", kind="stable").reset_index(drop=True)
-        values = {c: bars[c].astype("float64") for c in needed}
-        return bars.assign(**{a.name: _average(values[a.column], a) for a in wanted})
+        found: dict[str, pd.Series] = {}
+        value = lambda c: found[c] if c in found else bars[c].astype("float64")
+        for a in wanted:
+            found[a.name] = _average(value(a.column) if a.minus is None else value(a.column) - value(a.minus), a)
+        return bars.assign(**found)
 
     out = df.select("Ticker", "Date", *(c for c in df.columns if c not in ("Ticker", "Date"))).groupBy("Ticker").applyInPandas(run, schema)
     return out.withColumns({a.name: F.when(F.isnan(a.name), None).otherwise(C(a.name)) for a in wanted})
@@ -69,10 +74,14 @@ def ema(df: DataFrame, n: int = 20, adjust: bool = False) -> DataFrame:
     return averages(df, [span(f"EMA_{n}", n, adjust=adjust)])
 
 
+def _macd(fast: int, slow: int, signal: int) -> list[Average]:
+    return [span("fast", fast), span("slow", slow), span("MACD_signal", signal, "fast", minus="slow")]
+
+
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """MACD, signal line and histogram. The signal averages a difference of averages, so it is a second pass on the same grouping."""
-    df = averages(df, [span("fast", fast), span("slow", slow)]).withColumn("MACD", C("fast") - C("slow")).drop("fast", "slow")
-    return averages(df, [span("MACD_signal", signal, "MACD")]).withColumn("MACD_hist", C("MACD") - C("MACD_signal"))
+    """MACD, signal line and histogram, from one pass."""
+    df = averages(df, _macd(fast, slow, signal)).withColumn("MACD", C("fast") - C("slow")).drop("fast", "slow")
+    return df.withColumn("MACD_hist", C("MACD") - C("MACD_signal"))
 
 
 def _moves(df: DataFrame) -> DataFrame:
@@ -93,8 +102,7 @@ def atr_wilder(df: DataFrame, n: int = 14, long: int = 50) -> DataFrame:
 
 
 def indicator_suite(df: DataFrame) -> DataFrame:
-    """The full suite: plain windows first, which share one exchange and sort, then one recursive pass on the same grouping."""
-    df = windows.vwap(windows.stochastic(windows.bollinger(windows.atr(windows.rsi(windows.sma(df))))))
-    df = averages(df, [span("EMA_20", 20), span("EMA_50", 50), span("EMA_200", 200), span("fast", 12), span("slow", 26)])
+    """The full suite: one recursive pass over the bars as they are, then plain windows, which share one exchange and sort."""
+    df = averages(df, [span("EMA_20", 20), span("EMA_50", 50), span("EMA_200", 200), *_macd(12, 26, 9)])
     df = df.withColumn("MACD", C("fast") - C("slow")).drop("fast", "slow")
-    return averages(df, [span("MACD_signal", 9, "MACD")])
+    return windows.vwap(windows.stochastic(windows.bollinger(windows.atr(windows.rsi(windows.sma(df))))))

@@ -55,7 +55,10 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News items from ``documents``, whole: ``stock, title, link, published``."""
-    docs = table(spark, sf_dir, "documents")
+    return news_items(table(spark, sf_dir, "documents"))
+
+
+def news_items(docs: DataFrame) -> DataFrame:
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     return docs.select(F.col("source").alias("stock"), F.col("text").alias("title"), F.col("doc_id").cast("string").alias("link"), F.timestamp_seconds(F.unix_timestamp(start) + F.col("doc_id") * 37 * 60).alias("published"))
 

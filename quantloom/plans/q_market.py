@@ -9,7 +9,7 @@ from quantloom.operators import news as N
 from quantloom.operators import options as O
 from quantloom.operators import windows as W
 from quantloom.operators.evaluate import split_by_ticker
-from quantloom.plans.inputs import BARS, CHAIN, NEWS, bars, chain, news, table
+from quantloom.plans.inputs import BARS, CHAIN, NEWS, bars, chain, news, news_items, table
 from quantloom.plans.q_bars import KEY
 from quantloom.plans.q_research import _R5, _stateful, suite  # noqa: F401
 from quantloom.plans.registry import query
@@ -219,7 +219,10 @@ def n5_x8_market_index(spark, sf_dir):
     return N.market_index(_scored_news(spark, sf_dir))
 
 
-@query(f"WITH {_CLEAN} SELECT stock, CAST(published - INTERVAL 225 MINUTE AS DATE) AS day, avg(score) AS mean_score, avg(score * weight) AS mean_weighted, count(*) AS items FROM sn GROUP BY ALL", "mean_score mean_weighted")
+_NEWS_DAILY = f"WITH {_CLEAN} SELECT stock, CAST(published - INTERVAL 225 MINUTE AS DATE) AS day, avg(score) AS mean_score, avg(score * weight) AS mean_weighted, count(*) AS items FROM sn GROUP BY ALL"
+
+
+@query(_NEWS_DAILY, "mean_score mean_weighted")
 def g1_n6_news_daily(spark, sf_dir):
     return streams.stream_news_daily(_scored_news(spark, sf_dir))
 
@@ -241,14 +244,26 @@ def g2_bars_from_ticks(spark, sf_dir):
     return streams.stream_bars(_ticks(table(spark, sf_dir, "events")))
 
 
+def _read_stream(spark, sf_dir, name):
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 @query(_EVENT_BARS)
 def g2_stream_bars(spark, sf_dir):
     """The same through Structured Streaming: every window of the folder's files, processed as far as they are there."""
-    path = f"{sf_dir}/events.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    source = reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = files.shared_folder(spark, "streams")
-    return streams.run_available(streams.stream_bars(_ticks(source)), f"bars_{out[-32:]}", f"{out}/checkpoint")
+    return streams.run_available(streams.stream_bars(_ticks(_read_stream(spark, sf_dir, "events"))), f"{out}/bars", f"{out}/checkpoint")
+
+
+@query(_NEWS_DAILY, "mean_score mean_weighted")
+def g1_stream_news_daily(spark, sf_dir):
+    """Daily sentiment by stock through Structured Streaming over the news folder."""
+    items = news_items(_read_stream(spark, sf_dir, "documents"))
+    scored = N.score_sentiment(N.prepared(items), lexicon=PROSE).withColumn("score", F.round(C("score") + 1e-8, 2))
+    out = files.shared_folder(spark, "streams")
+    return streams.run_available(streams.stream_news_daily(scored), f"{out}/news", f"{out}/checkpoint")
 
 
 def _is_folder(spark, path):

@@ -176,7 +176,8 @@ def r1_r2_regimes_by_row(spark, sf_dir):
 
 
 def _stateful(spark, sf_dir):
-    return G.regime_stateful(suite(spark, sf_dir).withColumn("ATR_50", W.mean(C("ATR_14"), 50)))
+    needed = ["EMA_50", "EMA_200", "MACD", "MACD_signal", "RSI_14", "ATR_14", "BB_Upper", "BB_Lower"]  # the rest need not go through its memory
+    return G.regime_stateful(suite(spark, sf_dir).select(*KEY, "Close", *needed).withColumn("ATR_50", W.mean(C("ATR_14"), 50)))
 
 
 @query()

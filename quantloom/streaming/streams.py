@@ -25,8 +25,21 @@ def stream_news_daily(items: DataFrame, late: str = "1 day") -> DataFrame:
     return out.select("stock", F.to_date(F.from_utc_timestamp("w.start", "Asia/Kolkata")).alias("day"), "mean_score", "mean_weighted", "items")
 
 
-def run_available(streamed: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Process what is there now and return the result table, from memory; for tests and small results."""
-    query = streamed.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return streamed.sparkSession.table(name)
+def run_available(streamed: DataFrame, out: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Process what is there now into a table in the folder ``out`` and read it from there; nothing goes through the driver.
+
+    With "append" only windows that the watermark has closed are written, by Spark's file sink. With "complete" each micro-batch
+    writes all windows so far to a folder of its own, and the last one is read; a batch that is run again overwrites its own.
+    """
+    spark, done = streamed.sparkSession, []
+    writer = streamed.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(out).awaitTermination()
+        return spark.read.schema(streamed.schema).parquet(out)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done.append(number)
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(streamed.schema).parquet(f"{out}/batch={max(done)}") if done else spark.createDataFrame([], streamed.schema)

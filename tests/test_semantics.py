@@ -140,7 +140,7 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
         files.write_table(rows.coalesce(1), path, mode="append")
         time.sleep(1.1)
     source = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = streams.run_available(streams.stream_bars(source), "t_bars", str(tmp_path / "c1"), "append")
+    out = streams.run_available(streams.stream_bars(source), str(tmp_path / "out"), str(tmp_path / "c1"), "append")
     assert [tuple(r) for r in out.filter("hour(Date) = 10").select("Open", "Close", "Volume").collect()] == [(1.0, 3.0, 2.0)]
     assert streams.stream_bars(ticks).filter("hour(Date) = 10").select("Open", "Close", "Volume").first() == (1.0, 3.0, 2.0)
 

@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import ann, chat, fingerprints, line_dedup, packing, pii, sentencepiece_fst, simhash, token_files, tokens, toxicity
+from quantloom.llm import ann, chat, fingerprints, line_dedup, packing, pii, queries, sentencepiece_fst, simhash, token_files, tokens, toxicity
 from quantloom.llm.components import components
 
 WORDS = "the quick brown fox jumps over a lazy dog while seven wizards quietly boxed up vintage jars of honey mead".split()
@@ -201,6 +201,50 @@ def test_toxicity_learns_folds_and_spares(spark, docs):
     assert {r["score"] for r in toxicity.score(docs, empty).collect()} == {0.0} and toxicity.reject_toxic(docs, empty).count() == docs.count()
 
 
+def plain_measure(text, model):
+    """The weight of a text by trying every term at every place."""
+    folded = toxicity.fold(text)
+    word = lambda k: 0 <= k < len(folded) and folded[k].isalnum()
+    spans = [(a, a + len(p)) for p in map(toxicity.fold, model.exceptions) for a in range(len(folded)) if folded.startswith(p, a) and not word(a - 1) and not word(a + len(p))]
+    total = 0.0
+    for a in range(len(folded)):
+        best = (0.0, 0)
+        for term, weight in model.terms.items():
+            key = term.rstrip(" ")
+            if not word(a - 1) and folded.startswith(key, a) and (term == key or not word(a + len(key))) and weight > best[0]:
+                best = (weight, a + len(key))
+        if best[0] and not any(x <= a and best[1] <= y for x, y in spans):
+            total += best[0]
+    return total
+
+
+def test_matcher_equals_trying_every_term():
+    r = random.Random(6)
+    model = toxicity.Model({"bad": 2.0, "badly ": 3.0, "foo ": 1.5, "ugiy": 4.0}, ("bad luck", "foo bar"), None)
+    parts = ["bad", "badly", "b4d", "bаd", "foo", "foobar", "bar", "ugly", "UGLY", "luck", "not", "zzz", "bad luck", "foo bar", ".", ","]
+    matcher = toxicity.Matcher(model)
+    for _ in range(2000):
+        text = r.choice([" ", "  ", "-"]).join(r.choice(parts) for _ in range(r.randint(0, 9)))
+        assert matcher.measure(text)[0] == pytest.approx(plain_measure(text, model)), text
+
+
+def test_exceptions_lower_the_score(spark):
+    rows = [(k, prose(k, 40) + (" you trash" if k % 4 == 0 else "")) for k in range(200)] + [(1000, "the trash can"), (1001, "you trash " * 3 + prose(3, 20000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int")
+    scores = lambda **more: {r["doc_id"]: r["score"] for r in toxicity.score(df, toxicity.learn(df, labels, **more)).collect()}
+    assert scores()[1000] < 0.5 <= scores(exceptions=())[1000]
+
+
+def test_toxicity_of_held_out_labels(spark):
+    """The registered query against labels it has not learned from."""
+    folder = "/root/testdata/sf0.1"
+    found = queries.op4_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").select("score", "predicted", "toxic").dropna().toPandas()
+    assert set(found.toxic) == {0, 1} and (found.predicted == found.toxic).mean() > 0.95
+    pos, neg = found.score[found.toxic == 1].to_numpy(), found.score[found.toxic == 0].to_numpy()
+    assert ((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2) > 0.95
+
+
 # --- 5: line dedup
 
 
@@ -303,6 +347,22 @@ def test_line_dedup_equals_brute_force(spark, docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_blocks_of_lines_of_any_length(spark):
+    """The summed lanes, in one number, in parts and at their bounds, against majorities counted one by one."""
+    r, texts = random.Random(12), ["a bc def", "aaaa", "", "word " * 2555, "same " * 511, "ab " * 3000 + "abcd"]
+    texts += [" ".join("w%d" % r.randrange(10 ** r.randint(1, 6)) + "xyz" for _ in range(n)) for n in (1, 2, 3, 9, 60, 300, 364, 365, 600, 1500, 9000)]
+    texts.append("\n".join(texts))
+    every = [normal_line(x) for t in texts for x in t.split("\n") if normal_line(x)]
+    found = line_dedup.lines(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(found) == len(every)
+    lines = {(k, p): normal_line(x) for k, t in enumerate(texts) for p, x in enumerate(t.split("\n"))}
+    for x in found:
+        own = line_blocks(lines[x["doc_id"], x["pos"]])
+        assert x["held"] == sum(1 << c for c in own)
+        for c in range(6):
+            assert (x["lo"] >> 10 * c & 1023) | (x["hi"] >> 10 * c & 63) << 10 == own.get(c, 0)
+
+
 def test_line_dedup_finds_what_edit_similarity_alone_would(spark):
     """No gate here: the share of removals that brute force on edit similarity makes and the operator too."""
     r, texts = random.Random(8), {}
@@ -526,6 +586,37 @@ def test_neighbours_are_exact_without_parts(spark):
     assert len(few) == 4 and ann.search(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_of_the_registered_search(spark, size):
+    """Production parameters on the given vectors, against brute force."""
+    pdf = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").toPandas()
+    x, ids = np.array(pdf.embedding.tolist(), dtype=float), pdf.vec_id.to_numpy()
+    found, hits = queries.op10_nearest_neighbours(spark, f"/root/testdata/{size}").toPandas(), 0
+    asked = ids[ids % 20 == 0]
+    assert len(found) == 20 * len(asked)
+    for q, own in found.groupby("query_id"):
+        s = ann.scores(np.repeat(x[ids == q], len(x), axis=0), x)
+        s[ids == q] = -np.inf
+        best = ids[np.lexsort((ids, -s))[:20]]
+        own = own.sort_values("rank")
+        assert own.score.tolist() == [s[ids == v][0] for v in own.vec_id] and own.score.is_monotonic_decreasing
+        hits += len(set(best) & set(own.vec_id))
+    assert hits >= 0.9 * len(found)
+
+
+def test_blocks_and_large_vectors(spark, monkeypatch):
+    """Small blocks on both sides give what one block gives; overflow is as in double arithmetic, not-a-number last."""
+    r = np.random.default_rng(3)
+    rows = [(i, (r.normal(size=4) * 3).round().tolist()) for i in range(1, 300)] + [(300, [1e308, 1e308, -1e308, 1.0]), (320, [1e200, 0.0, 0.0, 0.0]), (301, [1e200, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([x for x in rows if any(x[1])], "vec_id long, embedding array<double>").withColumns({"part": F.lit(1), "rank": F.lit(2)})
+    whole = ann.search(df, router=None).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 2)
+    assert ann.search(df, router=None).orderBy("query_id", "rank").collect() == whole
+    first = next(x for x in whole if x["query_id"] == 320)
+    assert (first["vec_id"], first["score"]) == (300, float("inf"))
+
+
 def test_learned_parts_recall(spark):
     r = np.random.default_rng(2)
     centres = r.normal(size=(24, 16))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,10 +26,13 @@ def text_of(name: str = "text") -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A folder of our own is used only where that setting is unset, as in tests on one machine.
+    A folder of our own is used only where that setting is unset and Spark runs on one machine, as in tests; on a cluster
+    this is an error, for a folder of the driver's machine is not the executors'.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         named = spark.sparkContext.getCheckpointDir()
     return named

@@ -12,6 +12,11 @@ The histogram has at most ``capacity`` rows and the plan a bounded number of slo
 slot says that the pieces of one length with ranks ``first .. first + n - 1`` go to the sequences ``sequence,
 sequence + 1, ...`` at one offset. Pieces are ranked by counting within partitions first, so no length, however
 common, is gathered in one task.
+
+Cases: a null text is the empty text, whose one piece is the end id alone. A very long text is cut into full pieces and a
+rest. Repeated rows are packed like any other; ties between pieces of one length need no rule, for these are
+interchangeable. An empty table gives an empty result. ``pack_documents`` ignores other columns, and ``pack_pieces`` keeps
+them, whatever their names; columns ``sequence_id`` and ``offset`` are replaced.
 """
 
 from __future__ import annotations
@@ -178,28 +183,27 @@ def plan(histogram: dict[int, int], capacity: int = 4096, classes: int = 128, un
 def pack_pieces(found: DataFrame, capacity: int = 4096) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces of 1 to ``capacity`` tokens; sequences fill without gaps from 0.
 
-    Other columns stay, but for ``part``, ``first`` and ``nth``, which this needs for itself. Pieces alike in length
-    are interchangeable, so ties and repeated rows need no rule. An empty table gives an empty result.
+    Other columns stay.
     """
-    found = cut(found)  # partitions must hold the same rows each time they are counted
+    found = cut(found.drop("sequence_id", "offset"))  # partitions must hold the same rows each time they are counted
     counted = found.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
     slots = plan({r["length"]: r["n"] for r in counted}, capacity)
     slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
     keys = (slots[:, 0] << 44) + slots[:, 1]
 
-    rows = found.withColumn("part", F.spark_partition_id())
-    here = Window.partitionBy("part", "length")
-    bases = rows.groupBy("part", "length").agg(F.count("*").alias("n"))
-    bases = bases.withColumn("first", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
-    ranked = rows.withColumn("nth", F.row_number().over(here.orderBy("doc_id", "piece"))).join(bases, ["part", "length"])
-    ranked = ranked.withColumn("rank", F.col("first") + F.col("nth") - 1).select(*found.columns, "rank")
+    rows = found.withColumn("__ql_part", F.spark_partition_id())
+    here = Window.partitionBy("__ql_part", "length")
+    bases = rows.groupBy("__ql_part", "length").agg(F.count("*").alias("n"))
+    bases = bases.withColumn("__ql_first", F.sum("n").over(Window.partitionBy("length").orderBy("__ql_part")) - F.col("n")).drop("n")
+    ranked = rows.withColumn("__ql_nth", F.row_number().over(here.orderBy("doc_id", "piece"))).join(bases, ["__ql_part", "length"])
+    ranked = ranked.withColumn("__ql_rank", F.col("__ql_first") + F.col("__ql_nth") - 1).select(*found.columns, "__ql_rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in ("length", "rank"))
+            length, rank = (b.column(b.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in ("length", "__ql_rank"))
             at = slots[np.searchsorted(keys, (length << 44) + rank, side="right") - 1] if len(rank) else np.zeros((0, 5), dtype=np.int64)
-            columns = [c for c, name in zip(b.columns, b.schema.names, strict=True) if name != "rank"]
-            names = [name for name in b.schema.names if name != "rank"]
+            columns = [c for c, name in zip(b.columns, b.schema.names, strict=True) if name != "__ql_rank"]
+            names = [name for name in b.schema.names if name != "__ql_rank"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(at[:, 3] + rank - at[:, 1]), pa.array(at[:, 4])], [*names, "sequence_id", "offset"])
 
     schema = found.schema.add("sequence_id", "long").add("offset", "long")

@@ -9,7 +9,7 @@ Lexicon and curve are learned from labelled rows: a term is the start of a word,
 log-odds of toxic against clean labelled documents that hold it. ``max_labelled`` bounds the labelled rows of each
 class that are learned from (chosen by a hash of ``doc_id``); scoring covers every row.
 
-Cases: a null text is the empty text; texts without hits, the empty one among them, get the curve's lowest score.
+Cases: a null text is the empty text; texts without hits, the empty one among them, get the curve's lowest score; very long texts are matched whole.
 Labels that are null or whose document is missing teach nothing; of several labels of a document the highest counts. Without
 toxic labels the lexicon is empty and every score 0. Repeated rows get equal scores. Rows with a null ``doc_id`` are scored
 and never learned from. Columns of ``docs`` stay as they are; only ``doc_id`` and ``text`` are read.
@@ -161,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: bool = True, max_labelle
     """Learn lexicon and curve from ``labels (doc_id, toxic)``; with ``held_out``, only from rows whose crc32 of ``doc_id`` mod 5 is not 0.
 
     At most ``max_labelled`` rows of each class are taken. Their ids are broadcast, so no text is shuffled; the driver gets
-    terms that at least two toxic documents hold, and two numbers a row.
+    terms that at least four toxic documents hold, and two numbers a row.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     if held_out:

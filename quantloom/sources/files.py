@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,5 +35,11 @@ def as_json(df: DataFrame, column: str = "json") -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder below the one that the cluster shares (``spark.checkpoint.dir``), or a local one where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{what}/{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster shares (``spark.checkpoint.dir``), or a local one where that is unset and Spark
+    runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+    return f"{named}/{what}/{uuid.uuid4().hex}"

@@ -347,8 +347,11 @@ def test_line_dedup_equals_brute_force(spark, docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
-def test_blocks_of_lines_of_any_length(spark):
-    """The summed lanes, in one number, in parts and at their bounds, against majorities counted one by one."""
+@pytest.mark.parametrize("lane_line", [None, 400])
+def test_blocks_of_lines_of_any_length(spark, monkeypatch, lane_line):
+    """The summed lanes, and what is counted bit by bit beyond them, against majorities counted one by one."""
+    if lane_line:
+        monkeypatch.setattr(line_dedup, "LANE_LINE", lane_line)
     r, texts = random.Random(12), ["a bc def", "aaaa", "", "word " * 2555, "same " * 511, "ab " * 3000 + "abcd"]
     texts += [" ".join("w%d" % r.randrange(10 ** r.randint(1, 6)) + "xyz" for _ in range(n)) for n in (1, 2, 3, 9, 60, 300, 364, 365, 600, 1500, 9000)]
     texts.append("\n".join(texts))
@@ -360,7 +363,7 @@ def test_blocks_of_lines_of_any_length(spark):
         own = line_blocks(lines[x["doc_id"], x["pos"]])
         assert x["held"] == sum(1 << c for c in own)
         for c in range(6):
-            assert (x["lo"] >> 10 * c & 1023) | (x["hi"] >> 10 * c & 63) << 10 == own.get(c, 0)
+            assert x["hi" if c > 2 else "lo"] >> 20 * (c % 3) & 0xFFFFF == own.get(c, 0)
 
 
 def test_line_dedup_finds_what_edit_similarity_alone_would(spark):

@@ -297,17 +297,20 @@ def _ml(spark, sf_dir):
     return split_by_ticker(b.dropna(subset=["RSI_14", "target"]))
 
 
+_FEATURES = ["RSI_14", "log_return", "pct_change", "range", "Volume"]
+
+
 @query()
 def m2_boosted_trees(spark, sf_dir):
-    rows = M.with_class_weight(_ml(spark, sf_dir)).cache()
-    model = M.boosted_trees(["RSI_14", "log_return", "range"], maxIter=5, maxDepth=3).fit(rows.filter("NOT is_test"))
+    rows = M.with_class_weight(_ml(spark, sf_dir))
+    model = M.boosted_trees(_FEATURES, maxIter=20, maxDepth=6, stepSize=0.05, subsamplingRate=0.8).fit(rows.filter("NOT is_test"))
     return M.probabilities(model, rows.filter("is_test")).select(*KEY, "target", "prob")
 
 
 @query()
 def m3_grid_search(spark, sf_dir):
-    rows = M.with_class_weight(_ml(spark, sf_dir)).filter("NOT is_test").cache()
-    found = M.grid_search(rows, ["RSI_14", "log_return", "range"], depths=(2, 3), steps=(0.1,), folds=2)
+    rows = M.with_class_weight(_ml(spark, sf_dir)).filter("NOT is_test")
+    found = M.grid_search(rows, _FEATURES)
     best = found.bestModel.stages[-1]
     return rows.agg(F.count("*").alias("rows"), F.lit(best.getMaxDepth()).alias("depth"), F.lit(float(max(found.avgMetrics))).alias("precision"))
 
@@ -316,6 +319,6 @@ def m3_grid_search(spark, sf_dir):
 def r6_regime_forest(spark, sf_dir):
     from quantloom.operators.regime import regime_5
 
-    rows = regime_5(suite(spark, sf_dir)).withColumnRenamed("regime_5", "regime").cache()
-    model, test = M.regime_forest(rows, ["RSI_14", "MACD", "ATR_14"], trees=10, depth=5)
+    rows = regime_5(suite(spark, sf_dir)).withColumnRenamed("regime_5", "regime")
+    model, test = M.regime_forest(rows, ["EMA_50", "EMA_200", "RSI_14", "ATR_14", "MACD", "MACD_signal", "BB_Upper", "BB_Lower"])
     return model.transform(test).select(*KEY, "regime", "regime_index", "prediction")

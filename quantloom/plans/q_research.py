@@ -108,11 +108,6 @@ def p6_candle_features(spark, sf_dir):
     return X.candle_features(bars(spark, sf_dir)).select(*KEY, "body_pct", "upper_wick_pct", "lower_wick_pct", "body_vs_mid")
 
 
-@query(over("Ticker, Date, mid / Close - 1 AS BB_Mid_rel", "bb", _BB), "BB_Mid_rel")
-def p3_relative_to_base(spark, sf_dir):
-    return X.relative_to_base(W.bollinger(bars(spark, sf_dir)), ["BB_Mid"]).select(*KEY, "BB_Mid_rel")
-
-
 #: The suite of both indices and the bars, side by side by date.
 _SUITE_COLUMNS = ("Close", "EMA_20", "EMA_50", "RSI_14", "MACD", "ATR_14", "BB_Upper", "BB_Lower", "BB_Mid")
 
@@ -141,21 +136,52 @@ _BASE = f"WITH {BARS}, {_suite_sql('s', 'bars')}"
 _WITH_INDEX = f"{_BASE}, {INDEX}, {_suite_sql('i', 'idx')}, j AS (SELECT s_s.*, {', '.join(f'{p}.{c} AS {n}_{c}' for p, n in (('a', 'NIFTY'), ('b', 'BANKNIFTY')) for c in _SUITE_COLUMNS)} FROM s_s LEFT JOIN (SELECT * FROM i_s WHERE Ticker = 'ALL') a ON s_s.Date = a.Date LEFT JOIN (SELECT * FROM i_s WHERE Ticker = 'R0') b ON s_s.Date = b.Date)"
 
 
-@query(f"""{_WITH_INDEX} SELECT Ticker, Date, EMA_20 - EMA_50 AS EMA_diff, RSI_14 - NIFTY_RSI_14 AS RSI_diff_NIFTY, MACD - BANKNIFTY_MACD AS MACD_diff_BANKNIFTY, (Close - BB_Lower) / (BB_Upper - BB_Lower + 1e-6) AS BB_Pos, Close / EMA_20 - 1 AS Close_vs_EMA20,
-    ln(1 + ATR_14 / (NIFTY_ATR_14 + 1e-6)) AS log_ATR_vs_NIFTY, (NIFTY_BB_Upper - NIFTY_BB_Lower) / NIFTY_BB_Mid AS NIFTY_BB_Width, VWAP - EMA_20 AS VWAP_minus_EMA20 FROM j""", "EMA_diff RSI_diff_NIFTY MACD_diff_BANKNIFTY BB_Pos Close_vs_EMA20 log_ATR_vs_NIFTY NIFTY_BB_Width VWAP_minus_EMA20", 3)
+#: SQL of the relational features; RSI over MACD is left out, for MACD is near 0 so often that rounding decides its value.
+_RELATIONAL = {
+    "EMA_diff": "EMA_20 - EMA_50", "NIFTY_EMA_diff": "NIFTY_EMA_20 - NIFTY_EMA_50", "BANKNIFTY_EMA_diff": "BANKNIFTY_EMA_20 - BANKNIFTY_EMA_50", "MACD_diff": "MACD - MACD_signal",
+    "RSI_diff_NIFTY": "RSI_14 - NIFTY_RSI_14", "RSI_diff_BANKNIFTY": "RSI_14 - BANKNIFTY_RSI_14", "MACD_diff_NIFTY": "MACD - NIFTY_MACD", "MACD_diff_BANKNIFTY": "MACD - BANKNIFTY_MACD",
+    "VWAP_diff": "VWAP - Close", "VWAP_NIFTY_diff": "VWAP - NIFTY_EMA_20", "VWAP_BANKNIFTY_diff": "VWAP - BANKNIFTY_EMA_20",
+    "BB_Width": "(BB_Upper - BB_Lower) / nullif(BB_Mid, 0)", "BB_Pos": "(Close - BB_Lower) / (BB_Upper - BB_Lower + 1e-6)", "NIFTY_BB_Width": "(NIFTY_BB_Upper - NIFTY_BB_Lower) / nullif(NIFTY_BB_Mid, 0)",
+    "BANKNIFTY_BB_Width": "(BANKNIFTY_BB_Upper - BANKNIFTY_BB_Lower) / nullif(BANKNIFTY_BB_Mid, 0)", "Close_vs_EMA20": "Close / EMA_20 - 1", "Close_vs_EMA50": "Close / EMA_50 - 1",
+    "BB_Mid_Dev": "(Close - BB_Mid) / (BB_Upper - BB_Lower + 1e-6)", "RSI_vs_NIFTY": "RSI_14 - NIFTY_RSI_14", "RSI_vs_BANKNIFTY": "RSI_14 - BANKNIFTY_RSI_14",
+    "Range_over_ATR": "(High - Low) / (ATR_14 + 1e-6)", "Range_over_Close": "(High - Low) / Close", "VWAP_minus_Close": "VWAP - Close", "VWAP_minus_EMA20": "VWAP - EMA_20",
+    "ATR_vs_NIFTY": "ATR_14 / (NIFTY_ATR_14 + 1e-6)", "ATR_vs_BANKNIFTY": "ATR_14 / (BANKNIFTY_ATR_14 + 1e-6)", "log_ATR_vs_NIFTY": "ln(1 + ATR_14 / (NIFTY_ATR_14 + 1e-6))",
+}
+_ML = {
+    "MACD_minus_signal": "MACD - MACD_signal", "Close_vs_EMA20": "Close - EMA_20", "Close_vs_EMA50": "Close - EMA_50", "RSI_vs_NIFTY": "RSI_14 / (NIFTY_RSI_14 + 1e-6)", "RSI_vs_BANKNIFTY": "RSI_14 / (BANKNIFTY_RSI_14 + 1e-6)",
+    "MACD_vs_NIFTY": "MACD - NIFTY_MACD", "MACD_vs_BANKNIFTY": "MACD - BANKNIFTY_MACD", "VWAP_vs_Close": "VWAP / (Close + 1e-6) - 1", "Range_over_ATR": "((High - Low) / Close) / (ATR_14 + 1e-6)",
+    "ATR_vs_NIFTY": "ATR_14 / (NIFTY_ATR_14 + 1e-6)", "ATR_vs_BANKNIFTY": "ATR_14 / (BANKNIFTY_ATR_14 + 1e-6)", "log_ATR": "ln(1 + ATR_14)",
+}
+_listed = lambda columns: ", ".join(f"{x} AS {name}" for name, x in columns.items())
+
+
+@query(f"{_WITH_INDEX} SELECT Ticker, Date, {_listed(_RELATIONAL)} FROM j", " ".join(_RELATIONAL), 3)
 def p2_relational_features(spark, sf_dir):
-    return X.relational_features(suite_with_index(spark, sf_dir)).select(*KEY, "EMA_diff", "RSI_diff_NIFTY", "MACD_diff_BANKNIFTY", "BB_Pos", "Close_vs_EMA20", "log_ATR_vs_NIFTY", "NIFTY_BB_Width", "VWAP_minus_EMA20")
+    return X.relational_features(suite_with_index(spark, sf_dir)).select(*KEY, *_RELATIONAL)
+
+
+_BASED = {"EMA_20": "Close", "EMA_50": "Close", "BB_Mid": "Close", "BB_Upper": "Close", "BB_Lower": "Close", "VWAP": "Close", "NIFTY_EMA_20": "NIFTY_Close", "NIFTY_BB_Mid": "NIFTY_Close", "BANKNIFTY_EMA_50": "BANKNIFTY_Close"}
+
+
+@query(f"{_WITH_INDEX} SELECT Ticker, Date, {', '.join(f'{c} / {base} - 1 AS {c}_rel' for c, base in _BASED.items())} FROM j", " ".join(f"{c}_rel" for c in _BASED), 4)
+def p3_relative_to_base(spark, sf_dir):
+    return X.relative_to_base(suite_with_index(spark, sf_dir), list(_BASED)).select(*KEY, *(f"{c}_rel" for c in _BASED))
 
 
-@query(f"{_WITH_INDEX} SELECT Ticker, Date, MACD - MACD_signal AS MACD_minus_signal, Close - EMA_20 AS Close_vs_EMA20, RSI_14 / (NIFTY_RSI_14 + 1e-6) AS RSI_vs_NIFTY, ((High - Low) / Close) / (ATR_14 + 1e-6) AS Range_over_ATR, ln(1 + ATR_14) AS log_ATR FROM j", "MACD_minus_signal Close_vs_EMA20 RSI_vs_NIFTY Range_over_ATR log_ATR", 3)
+@query(f"{_WITH_INDEX} SELECT Ticker, Date, {_listed(_ML)} FROM j", " ".join(_ML), 3)
 def p8_ml_features(spark, sf_dir):
-    return X.ml_features(suite_with_index(spark, sf_dir)).select(*KEY, "MACD_minus_signal", "Close_vs_EMA20", "RSI_vs_NIFTY", "Range_over_ATR", "log_ATR")
+    return X.ml_features(suite_with_index(spark, sf_dir)).select(*KEY, *_ML)
 
 
-@query(f"WITH {BARS}, p AS (SELECT Ticker, Date, Volume, Close AS PE FROM bars QUALIFY row_number() OVER (PARTITION BY Ticker ORDER BY Date DESC) = 1) SELECT 'other' AS regime, Ticker FROM p WHERE Volume > (SELECT avg(Volume) FROM p) UNION ALL SELECT 'Bearish', Ticker FROM p WHERE PE < 20")
+@query(f"{_BASE}, p AS (SELECT Ticker, Volume, Close AS PE, RSI_14 AS RSI FROM s_s QUALIFY row_number() OVER (PARTITION BY Ticker ORDER BY Date DESC) = 1) SELECT 'other' AS regime, Ticker FROM p WHERE Volume > (SELECT avg(Volume) FROM p) UNION ALL SELECT 'Bearish', Ticker FROM p WHERE PE / 75 < 20 UNION ALL SELECT 'Bullish', Ticker FROM p WHERE RSI > 50")
 def p11_select_stocks(spark, sf_dir):
-    last = S.latest(bars(spark, sf_dir)).withColumn("PE", C("Close"))
-    return X.select_stocks(last, "Neutral").select(F.lit("other").alias("regime"), "Ticker").unionByName(X.select_stocks(last, "Bearish").select(F.lit("Bearish").alias("regime"), "Ticker"))
+    # prices here are in the thousands: a ratio of price to one of 75 stands in for earnings
+    last = S.latest(suite(spark, sf_dir)).select("Ticker", "Volume", (C("Close") / 75).alias("PE"), C("RSI_14").alias("RSI"))
+    kinds = (("Neutral", "other"), ("Bearish", "Bearish"), ("Bullish", "Bullish"))
+    first, *rest = (X.select_stocks(last, regime).select(F.lit(name).alias("regime"), "Ticker") for regime, name in kinds)
+    for other in rest:
+        first = first.unionByName(other)
+    return first
 
 
 @query(over(f"Ticker, Date, CAST(r > 0.01 AS INT) AS long_target, CAST(r < -0.01 AS INT) AS short_target", f"(SELECT *, lead(Close, 5) OVER ({P}) / Close - 1 AS r FROM bars)"))
@@ -329,9 +355,10 @@ def s9_multi_confluence(spark, sf_dir):
     return S.screen_multi_confluence(S.with_screen_columns(suite(spark, sf_dir)).join(support, "Ticker", "left")).select(*KEY)
 
 
-@query(f"{_LAST} SELECT Ticker, Date, Volume FROM la WHERE Volume >= volume_mean * 1.8")
+@query(over("Ticker, Date, Volume", f"(SELECT *, {full('avg', 'Volume', 20)} AS volume_mean FROM bars) WHERE Volume >= volume_mean * 4"))
 def s10_volume_burst(spark, sf_dir):
-    return S.screen_volume_burst(_last(spark, sf_dir), 1.8).select(*KEY, "Volume")
+    # over all bars, for few last ones burst
+    return S.screen_volume_burst(S.with_screen_columns(W.atr(bars(spark, sf_dir)))).select(*KEY, "Volume")
 
 
 @query(f"""{_BASE} SELECT Ticker, Date FROM (SELECT *, {full('avg', 'ATR_14', 14)} AS a14, {full('avg', 'ATR_14', 5)} AS a5, {full('min', 'Low', 3)} AS l3, lag(RSI_14) OVER ({P}) AS r1 FROM s_s)
@@ -415,9 +442,9 @@ def _scored(spark, sf_dir):
 _SCORED = f"sc AS (SELECT * FROM (SELECT Ticker, Date, lead(Close, 5) OVER ({P}) / Close - 1 AS future_return, CAST(lead(Close, 5) OVER ({P}) / Close - 1 > 0 AS INT) AS target, CAST('0x' || substring(md5(Ticker || '|' || CAST(Date AS VARCHAR)), 1, 6) AS BIGINT) / 16777216.0 AS prob FROM bars) WHERE future_return IS NOT NULL)"
 
 
-@query(over("count(*) FILTER (t AND g) AS tp, count(*) FILTER (t AND NOT g) AS fp, count(*) FILTER (t AND g) / count(*) FILTER (t) AS precision, count(*) FILTER (t AND g) / count(*) FILTER (g) AS recall, avg(future_return) FILTER (t AND g) AS avg_win, avg(future_return) FILTER (t AND NOT g) AS avg_loss, count(*) FILTER (t) / count(*) AS coverage", "(SELECT *, prob >= 0.7 AS t, future_return > 0 AS g FROM sc)", _SCORED), "precision recall avg_win avg_loss coverage")
+@query(over("count(*) FILTER (t AND g) AS tp, count(*) FILTER (t AND NOT g) AS fp, count(*) FILTER (t AND g) / count(*) FILTER (t) AS precision, count(*) FILTER (t AND g) / count(*) FILTER (g) AS recall, avg(future_return) FILTER (t AND g) AS avg_win, avg(future_return) FILTER (t AND NOT g) AS avg_loss, count(*) FILTER (t AND g) / count(*) FILTER (t) * coalesce(avg(future_return) FILTER (t AND g), 0) + (1 - count(*) FILTER (t AND g) / count(*) FILTER (t)) * coalesce(avg(future_return) FILTER (t AND NOT g), 0) AS expectation, count(*) FILTER (t) / count(*) AS coverage", "(SELECT *, prob >= 0.7 AS t, future_return > 0 AS g FROM sc)", _SCORED), "precision recall avg_win avg_loss expectation coverage")
 def ag4_trade_metrics(spark, sf_dir):
-    return E.trade_metrics(_scored(spark, sf_dir), 0.7).drop("expectation")
+    return E.trade_metrics(_scored(spark, sf_dir), 0.7)
 
 
 _GRID = "tt AS (SELECT k / 50.0 AS threshold, count(prob) AS trades, count(*) FILTER (target = 1) / nullif(count(prob), 0) AS precision FROM range(50) t(k) LEFT JOIN sc ON least(floor(prob * 50), 49) >= k GROUP BY k)"

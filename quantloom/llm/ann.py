@@ -172,8 +172,9 @@ def fit(distinct: DataFrame, n: int, max_sample: int = 8192, per_part: int = 96,
     return replace(router, mass=covering_mass(router, x[unseen], recall))
 
 
-def _routed(rows: DataFrame, router: Router | None, several: bool) -> DataFrame:
-    """``rows`` with ``part``: the most probable one, or as many rows as parts to search if ``several``."""
+def _routed(rows: DataFrame, router: Router | None, sizes: dict[int, int] | None = None, least: int = 0) -> DataFrame:
+    """``rows`` with ``part``: the most probable one. With the ``sizes`` of parts, as many rows as parts to search: those that cover the
+    mass, and more if these hold fewer than ``least`` vectors."""
     fields = rows.schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +186,10 @@ def _routed(rows: DataFrame, router: Router | None, several: bool) -> DataFrame:
                 at, part = np.arange(n), np.zeros(n, dtype=np.int64)
             else:
                 p = router.probabilities(_matrix(b.column(b.schema.get_field_index("v"))))
-                if several:
+                if sizes is not None:
                     order = np.argsort(-p, axis=1, kind="stable")
-                    ranked = np.take_along_axis(p, order, axis=1)
-                    at, k = np.nonzero(np.cumsum(ranked, axis=1) - ranked < router.mass)
+                    ranked, held = np.take_along_axis(p, order, axis=1), np.array([sizes.get(x, 0) for x in range(p.shape[1])])[order]
+                    at, k = np.nonzero((np.cumsum(ranked, axis=1) - ranked < router.mass) | (np.cumsum(held, axis=1) - held < least))
                     part = order[at, k]
                 else:
                     at, part = np.arange(n), p.argmax(axis=1)
@@ -253,13 +254,18 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return batches_of(pairs).mapInArrow(run, "query_id long, vec_id long, near double")
 
 
-def _blocks(rows: DataFrame, size: int, content: list[str], name: str, key: str) -> DataFrame:
-    """``part, name``: the rows of every part in arrays of about ``size``. The driver sees one number per part."""
-    held = saved(rows)
-    counts = held.groupBy("part").agg(F.ceil(F.count("*") / size).alias("n"))
-    few = F.map_from_entries(F.array(*(F.struct(F.lit(r["part"]), F.lit(r["n"])) for r in counts.filter("n > 1").collect()))) if counts.filter("n > 1").head(1) else None
-    n = F.lit(1).cast("long") if few is None else F.coalesce(few[F.col("part")], F.lit(1).cast("long"))
-    dealt = held.withColumn("block", F.pmod(F.xxhash64(key), n))
+def _sizes(rows: DataFrame) -> dict[int, int]:
+    """Rows of every part: one number for each."""
+    return {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
+
+
+def _blocks(rows: DataFrame, sizes: dict[int, int], size: int, content: list[str], name: str, key: str) -> DataFrame:
+    """``part, name``: the rows of every part in arrays of about ``size``."""
+    several = {p: -(-n // size) for p, n in sizes.items() if n > size}
+    n = F.lit(1).cast("long")
+    if several:
+        n = F.coalesce(F.map_from_entries(F.array(*(F.struct(F.lit(p).cast("long"), F.lit(k).cast("long")) for p, k in several.items())))[F.col("part")], n)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(key), n))
     return dealt.groupBy("part", "block").agg(F.collect_list(F.struct(*content)).alias(name)).drop("block")
 
 
@@ -275,9 +281,12 @@ def search(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, ro
     distinct = saved(few.groupBy("v").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids")))
     if router == "fit":
         router = fit(distinct, distinct.count(), **fitting)
-    held = _blocks(_routed(distinct, router, False), BLOCK_ROWS, ["v", "ids"], "held", "v")
+    indexed = saved(_routed(distinct, router))
+    sizes = _sizes(indexed)
+    held = _blocks(indexed, sizes, BLOCK_ROWS, ["v", "ids"], "held", "v")
     asked = rows.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumnRenamed("vec_id", "query_id")
-    asked = _blocks(_routed(asked, router, True), BLOCK_QUERIES, ["query_id", "v"], "asked", "query_id")
+    asked = saved(_routed(asked, router, sizes, k + 1))
+    asked = _blocks(asked, _sizes(asked), BLOCK_QUERIES, ["query_id", "v"], "asked", "query_id")
     found = _nearest(asked.join(held, "part").select("asked", "held"), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     first = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -55,6 +55,8 @@ TERM = re.compile(r"[^\W\d_]{3,}")
 NOT_DIGIT = re.compile(r"[^0-9]")
 #: Slots of the filters of terms; their size does not grow with the corpus.
 SLOTS = 1 << 20
+#: Places in a term's hash from which its slots are taken.
+SHIFTS = (0, 24)
 #: Copies of an entity's counts in the join with its terms.
 SALTS = 32
 #: Odd factors that put hashes in other orders.
@@ -182,8 +184,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _slots(terms: DataFrame) -> bytes:
-    """A filter of ``terms (term)``: a byte per slot."""
-    slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int").alias("slot")
+    """A filter of ``terms (term)``: a byte per slot, two slots for each term."""
+    slot = F.explode(F.array(*(F.pmod(F.shiftrightunsigned(F.xxhash64("term"), k), F.lit(SLOTS)).cast("int") for k in SHIFTS))).alias("slot")
     here = np.zeros(SLOTS, dtype=bool)
     here[terms.select(slot).distinct().toPandas()["slot"].to_numpy()] = True  # at most SLOTS numbers
     return here.tobytes()
@@ -200,7 +202,8 @@ class _Known(dict):
     def __missing__(self, word: str) -> bool:
         if len(self) > 200_000:
             self.clear()
-        found = self[word] = bool(self.held[self.digest(word, 42) & (SLOTS - 1)])
+        h = self.digest(word, 42)
+        found = self[word] = all(self.held[h >> k & SLOTS - 1] for k in SHIFTS)
         return found
 
 
@@ -227,7 +230,7 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``doc_id, h, term, start, end`` for every place where one of ``terms (term)``, or a word of the same slot, stands."""
+    """``doc_id, h, term, start, end`` for every place where one of ``terms (term)``, or a word of the same slots, stands."""
     held = _slots(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -176,7 +176,7 @@ _SIGNED = lambda sign: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{k}'
 _CLEAN = f"""{NEWS}, nc AS (SELECT stock, link, published, trim(lower(regexp_replace(regexp_replace(regexp_replace(title, '[^{_LETTERS}{_SPACES}]', '', 'g'), '\\p{{Nd}}{{1,2}}[{_SPACES}][{_LETTERS}]+[{_SPACES}]\\p{{Nd}}{{4}}', '', 'g'), '[â€™”“œ\\x{{9d}}¦]', chr(39), 'g'))) AS title
         FROM news WHERE title IS NOT NULL AND stock IS NOT NULL),
     nw AS (SELECT stock, link, published, title AS clean_title, CASE {_CATEGORY} ELSE 'general' END AS category, string_split_regex(title, '[ \\t\\n\\x0b\\f\\r]+') AS w FROM nc),
-    sn AS (SELECT stock, link, published, clean_title, category, CASE category {' '.join(f"WHEN '{k}' THEN {v}" for k, v in N.WEIGHTS.items())} END::DOUBLE AS weight, round(coalesce(100.0 * ({_SIGNED(1)} - {_SIGNED(-1)}) / nullif({_SIGNED(1)} + {_SIGNED(-1)}, 0), 0) + 1e-8, 2) AS score FROM nw)"""
+    sn AS (SELECT stock, link, published, clean_title, category, CASE category {' '.join(f"WHEN '{k}' THEN {v}" for k, v in N.WEIGHTS.items())} END::DOUBLE AS weight, round(coalesce(100.0 * ({_SIGNED(1)} - {_SIGNED(-1)}) / nullif({_SIGNED(1)} + {_SIGNED(-1)}, 0), 0), 2) AS score FROM nw)"""
 
 
 @query(f"WITH {_CLEAN} SELECT link, clean_title FROM sn")
@@ -205,8 +205,7 @@ def n2_x2_trading_day(spark, sf_dir):
 
 
 def _scored_news(spark, sf_dir):
-    scored = N.score_sentiment(_prepared(spark, sf_dir), lexicon=PROSE)
-    return scored.withColumn("score", F.round(C("score") + 1e-8, 2))
+    return N.score_sentiment(_prepared(spark, sf_dir), lexicon=PROSE)
 
 
 @query(f"WITH {_CLEAN} SELECT stock, round(avg(score), 2) AS mean_score, round(avg(score * weight), 2) AS mean_weighted, round(avg(weight), 2) AS mean_weight, count(*) AS items FROM sn GROUP BY stock")
@@ -261,7 +260,7 @@ def g2_stream_bars(spark, sf_dir):
 def g1_stream_news_daily(spark, sf_dir):
     """Daily sentiment by stock through Structured Streaming over the news folder."""
     items = news_items(_read_stream(spark, sf_dir, "documents"))
-    scored = N.score_sentiment(N.prepared(items), lexicon=PROSE).withColumn("score", F.round(C("score") + 1e-8, 2))
+    scored = N.score_sentiment(N.prepared(items), lexicon=PROSE)
     out = files.shared_folder(spark, "streams")
     return streams.run_available(streams.stream_news_daily(scored), f"{out}/news", f"{out}/checkpoint")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,78 @@ def _share(x: Column, of: Column) -> Column:
     return divide(x, of)
 
 
+def _doubles(values: list[float | None]) -> Column:
+    return F.array(*(F.lit(v).cast("double") for v in values))
+
+
+#: Values of a rank's range that are few enough to be read whole.
+FEW = 1000
+
+
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: tuple[float, ...]) -> dict[str, list[float | None]]:
+    """Exact quantiles of expressions over all rows, between two ranks by linear interpolation; null without values.
+
+    A distributed selection: for every rank an approximate sketch proposes two values around it, one aggregate counts what is below, at, between
+    and above these, and the range that holds the rank is taken on. Each round leaves about a thousandth, and whatever the values are less than
+    before; ranges of ``FEW`` rows are read. The driver sees a few numbers a rank, and no task all values.
+    """
+    rows = df.select(*(x.cast("double").alias(f"c{k}") for k, x in enumerate(columns.values()))).persist()
+    try:
+        counts = list(rows.agg(*(F.count(f"c{k}") for k in range(len(columns)))).first())
+        at = {(k, share): share * (n - 1) for k, n in enumerate(counts) if n for share in shares}
+        ranks = {(k, r) for (k, _), p in at.items() for r in (math.floor(p), math.ceil(p))}
+        values = _select(rows, ranks, counts)
+        out = {}
+        for k, name in enumerate(columns):
+            pairs = [(values[k, math.floor(at[k, s])], values[k, math.ceil(at[k, s])], at[k, s] % 1) if counts[k] else (None, None, 0) for s in shares]
+            out[name] = [a if a == b else a + (b - a) * part for a, b, part in pairs]
+        return out
+    finally:
+        rows.unpersist()
+
+
+def _select(rows: DataFrame, ranks: set[tuple[int, int]], counts: list[int]) -> dict[tuple[int, int], float]:
+    """The values of ``(column, rank)``."""
+    values: dict[tuple[int, int], float] = {}
+    ranges: dict[tuple[int, int], tuple] = {(k, r): (None, None, 0, counts[k]) for k, r in ranks}  # least, largest, rows below, rows in it
+    within = lambda k, low, high: F.lit(True) if low is None else C(f"c{k}").between(low, high)
+    while ranges:
+        few = {key: x for key, x in ranges.items() if x[3] <= FEW}
+        if few:
+            kinds = {(key[0], *x[:2]): None for key, x in few.items()}
+            tagged = F.array(*(F.when(within(k, low, high), F.struct(F.lit(i).alias("i"), C(f"c{k}").alias("v"))) for i, (k, low, high) in enumerate(kinds)))
+            read: dict[int, list] = {}
+            for r in rows.select(F.explode(tagged).alias("x")).filter("x.v IS NOT NULL").groupBy("x.i", "x.v").count().collect():
+                read.setdefault(r["i"], []).append((r["v"], r["count"]))
+            for i, kind in enumerate(kinds):
+                ordered = [v for v, n in sorted(read.get(i, [])) for _ in range(n)]
+                values |= {key: ordered[key[1] - x[2]] for key, x in few.items() if (key[0], *x[:2]) == kind}
+            ranges = {key: x for key, x in ranges.items() if key not in few}
+            continue
+        near = lambda key, x: [min(1.0, max(0.0, (key[1] - x[2] + 0.5) / x[3] + d)) for d in (-3e-4, 3e-4)]
+        keys = list(ranges)
+        proposed = rows.agg(*(F.percentile_approx(F.when(within(k, *ranges[k, r][:2]), C(f"c{k}")), near((k, r), ranges[k, r]), 10_000) for k, r in keys)).first()
+        parts = []
+        for (k, r), (a, b) in zip(keys, proposed, strict=True):
+            inside, v = within(k, *ranges[k, r][:2]), C(f"c{k}")
+            for cut in (v < a, v == a, (v > a) & (v < b), v == b, v > b):
+                parts.append(F.struct(F.count_if(inside & cut), F.min(F.when(inside & cut, v)), F.max(F.when(inside & cut, v))))
+        told = rows.agg(*parts).first()
+        for j, key in enumerate(keys):
+            below = ranges.pop(key)[2]
+            for i, (n, least, most) in enumerate(told[5 * j : 5 * j + 5]):
+                if i == 3 and proposed[j][0] == proposed[j][1]:
+                    continue
+                if key[1] < below + n:
+                    if least == most:
+                        values[key] = least
+                    else:
+                        ranges[key] = (least, most, below, n)
+                    break
+                below += n
+    return values
+
+
 def bracket_backtest(df: DataFrame, capital: float = 100_000.0, direction: str = "long") -> DataFrame:
     """Equal-allocation back-test of ``Date, Ticker, Close, tp_level, sl_level, future_bracket_outcome``.
 
@@ -48,15 +122,21 @@ def pnl_summary(trades: DataFrame) -> DataFrame:
 
 
 def performance(trades: DataFrame, capital: float = 1.0) -> DataFrame:
-    """One row: trades, success rate, mean return, and what ``capital`` becomes at the mean return."""
+    """One row: trades, success rate, mean return, and what ``capital`` becomes if every trade returns the mean."""
     r = C("trade_return")
-    return trades.agg(F.count(r).alias("trades"), _share(F.count_if(r > 0), F.count(r)).alias("success_rate"), F.avg(r).alias("mean_return"), (capital * F.exp(F.sum(F.log1p(r)))).alias("final_value"))
+    return trades.agg(F.count(r).alias("trades"), _share(F.count_if(r > 0), F.count(r)).alias("success_rate"), F.avg(r).alias("mean_return"), (capital * F.pow(1 + F.avg(r), F.count(r))).alias("final_value"))
 
 
 def performance_by_outcome(trades: DataFrame) -> DataFrame:
+    """A row per outcome (these are few): number, mean, deviation and quartiles of the returns."""
     r = C("trade_return")
-    q = lambda x: F.percentile(r, F.lit(x))
-    return trades.groupBy("outcome").agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"), F.min(r).alias("min"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.max(r).alias("max"))
+    outcomes = [x["outcome"] for x in trades.select("outcome").distinct().collect()]
+    found = exact_quantiles(trades, {str(k): F.when(C("outcome").eqNullSafe(F.lit(x)), r) for k, x in enumerate(outcomes)}, (0.25, 0.5, 0.75))
+    per = F.lit(None).cast("array<double>")
+    for k, x in enumerate(outcomes):
+        per = F.when(C("outcome").eqNullSafe(F.lit(x)), _doubles(found[str(k)])).otherwise(per)
+    flat = trades.groupBy("outcome").agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"), F.min(r).alias("min"), F.max(r).alias("max"))
+    return flat.select("outcome", "n", "mean", "std", "min", *(F.get(per, F.lit(k)).alias(q) for k, q in enumerate(("p25", "p50", "p75"))), "max")
 
 
 def trade_metrics(scored: DataFrame, threshold: float = 0.5, target: float = 0.0, side: str = "long") -> DataFrame:
@@ -72,26 +152,32 @@ def trade_metrics(scored: DataFrame, threshold: float = 0.5, target: float = 0.0
     )
 
 
-def threshold_table(scored: DataFrame, steps: int = 50) -> DataFrame:
-    """``threshold, trades, precision`` for evenly spaced thresholds from 0: rows are counted by bucket once, then summed from above."""
-    step = F.least(F.floor(C("prob") * steps), F.lit(steps - 1)).cast("int")
-    counted = scored.filter("prob IS NOT NULL").groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.count_if(C("target") == 1).alias("good"))
-    grid = scored.sparkSession.range(steps).select(C("id").cast("int").alias("step")).join(counted, "step", "left").fillna(0)
+def threshold_table(scored: DataFrame, steps: int = 50, low: float = 0.5, high: float = 0.95) -> DataFrame:
+    """``threshold, trades, precision`` for ``steps`` evenly spaced thresholds, ``low`` and ``high`` among them: a row counts for the last
+    one that it reaches, then counts are summed from above."""
+    grid = [low + (high - low) / (steps - 1) * k for k in range(steps - 1)] + [high]
+    marks = F.array(*map(F.lit, grid))
+    reached = F.aggregate(marks, F.lit(-1), lambda n, t: n + F.when(C("prob") >= t, 1).otherwise(0))
+    counted = scored.filter(C("prob") >= low).groupBy(reached.alias("step")).agg(F.count("*").alias("n"), F.count_if(C("target") == 1).alias("good"))
+    table = scored.sparkSession.range(steps).select(C("id").cast("int").alias("step")).join(counted, "step", "left").fillna(0)
     above = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)  # ``steps`` rows
-    grid = grid.withColumns({"trades": F.sum("n").over(above), "hits": F.sum("good").over(above)})
-    return grid.select((C("step") / steps).alias("threshold"), "trades", divide(C("hits"), C("trades")).alias("precision"))
+    table = table.withColumns({"trades": F.sum("n").over(above), "hits": F.sum("good").over(above)})
+    return table.select(F.get(marks, C("step")).alias("threshold"), "trades", divide(C("hits"), C("trades")).alias("precision"))
 
 
-def select_threshold(scored: DataFrame, min_trades: int = 100, precision_floor: float = 0.6, steps: int = 50, most_trades: bool = False) -> DataFrame:
+def select_threshold(scored: DataFrame, min_trades: int = 100, precision_floor: float = 0.6, steps: int = 50, most_trades: bool = False, low: float = 0.5, high: float = 0.95) -> DataFrame:
     """One row: the first threshold with enough trades and precision, or with ``most_trades`` the one that keeps the most trades; else 0.5."""
-    good = threshold_table(scored, steps).filter((C("trades") >= min_trades) & (C("precision") >= precision_floor))
+    good = threshold_table(scored, steps, low, high).filter((C("trades") >= min_trades) & (C("precision") >= precision_floor))
     best = F.max_by("threshold", F.struct("trades", "threshold")) if most_trades else F.min("threshold")
     return good.agg(F.coalesce(best, F.lit(0.5)).alias("threshold"))
 
 
 def probability_distribution(scored: DataFrame, column: str = "prob") -> DataFrame:
-    q = lambda x: F.percentile(column, F.lit(x))
-    return scored.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), *(q(x / 100).alias(f"p{x}") for x in (25, 50, 75, 90, 95, 99)), F.max(column).alias("max"))
+    """One row: number, mean, deviation, extremes and exact percentiles."""
+    marks = (25, 50, 75, 90, 95, 99)
+    found = exact_quantiles(scored, {column: C(column)}, tuple(x / 100 for x in marks))[column]
+    level = [F.lit(v).cast("double").alias(f"p{x}") for x, v in zip(marks, found, strict=True)]
+    return scored.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")).select("n", "mean", "std", "min", *level, "max")
 
 
 def class_counts(scored: DataFrame) -> DataFrame:
@@ -122,28 +208,28 @@ def quality(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def profile(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     """A row per column: counts, mean, deviation, extremes, median, missing and distinct values, from one aggregate."""
-    parts = []
+    parts, middles = [], exact_quantiles(df, {c: C(c).cast("double") for c in columns}, (0.5,)) if exact else {}
     for c in columns:
         distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c)
-        middle = F.percentile(c, F.lit(0.5)) if exact else F.percentile_approx(c, 0.5)
+        middle = F.lit(middles[c][0]) if exact else F.percentile_approx(c, 0.5)
         parts.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), middle.cast("double").alias("median"), F.max(c).cast("double").alias("max"), F.count_if(C(c).isNull()).alias("missing"), distinct.alias("distinct")).alias(f"p{len(parts)}"))
     return df.agg(*parts).select(F.explode(F.array(*(C(f"p{k}") for k in range(len(parts))))).alias("p")).select("p.*")
 
 
 def iqr_outliers(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFrame:
     """``column, outliers``: values outside the quartiles by more than ``k`` times their distance."""
-    q = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns)).first()
+    q = exact_quantiles(df, {c: C(c).cast("double") for c in columns}, (0.25, 0.75))
     counts = []
     for c in columns:
-        low, high = q[c] or (0.0, 0.0)
+        low, high = q[c] if q[c][0] is not None else (0.0, 0.0)
         gap = high - low
         counts.append(F.struct(F.lit(c).alias("column"), F.count_if((C(c) < low - k * gap) | (C(c) > high + k * gap)).alias("outliers")).alias(c))
     return df.agg(*counts).select(F.explode(F.array(*columns)).alias("p")).select("p.*")
 
 
 def clip_percentiles(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    q = df.agg(*(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(c) for c in columns)).first()
-    return df.withColumns({c: F.when(C(c).isNotNull(), F.least(F.greatest(C(c), F.lit(q[c][0])), F.lit(q[c][1]))) for c in columns if q[c]})
+    q = exact_quantiles(df, {c: C(c).cast("double") for c in columns}, (low, high))
+    return df.withColumns({c: F.when(C(c).isNotNull(), F.least(F.greatest(C(c), F.lit(q[c][0])), F.lit(q[c][1]))) for c in columns if q[c][0] is not None})
 
 
 def validate_ranges(df: DataFrame, rules: dict[str, tuple[float, float]], huge: float = 1e12) -> DataFrame:
@@ -202,7 +288,7 @@ def top_n(df: DataFrame, n: int, by: str = "prob", ties: tuple[str, ...] = ("Tic
 
 
 def top_share(df: DataFrame, share: float = 0.1, by: str = "prob") -> DataFrame:
-    level = df.agg(F.percentile(by, F.lit(1 - share)).alias("level")).first()["level"]
+    level = exact_quantiles(df, {by: C(by).cast("double")}, (1 - share,))[by][0]
     return df.filter(C(by) >= (level if level is not None else 0.0))
 
 

@@ -12,12 +12,23 @@ C = F.col
 
 def future_return(df: DataFrame, h: int = 10, calendar: bool = False) -> DataFrame:
     """Return to the bar ``h`` rows on, or with ``calendar`` to the first bar at least ``h`` days on."""
-    if calendar:
-        days = Window.partitionBy("Ticker").orderBy(F.unix_date("Date")).rangeBetween(h, Window.unboundedFollowing)
-        target = F.first("Close").over(days)
-    else:
-        target = lead("Close", h)
-    return df.withColumn("future_return", divide(target, C("Close")) - 1)
+    if not calendar:
+        return df.withColumn("future_return", divide(lead("Close", h), C("Close")) - 1)
+    found = first_at_or_after(df, F.date_add("Date", h), "Close", "__ql_ahead")
+    return found.withColumn("future_return", divide(C("__ql_ahead"), C("Close")) - 1).drop("__ql_ahead")
+
+
+def first_at_or_after(df: DataFrame, when: Column, column: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the ``column`` of the ticker's first bar on or after the day ``when`` of each bar; null if there is none.
+
+    An as-of join in one pass: each bar is there as itself and as a marker on its day ``when``. Read from the last day back, bars before markers, the
+    last bar read is the one that a marker asks for. So the work is linear in a ticker's bars however far ``when`` is.
+    """
+    bars = df.select("Ticker", C("Date").alias("__ql_at"), F.lit(False).alias("__ql_asks"), F.struct(C(column).alias("v")).alias("__ql_v"))
+    asks = df.select("Ticker", when.alias("__ql_at"), F.lit(True).alias("__ql_asks"), F.struct(*(C(c) for c in df.columns)).alias("__ql_row"))
+    back = Window.partitionBy("Ticker").orderBy(F.desc("__ql_at"), "__ql_asks").rowsBetween(Window.unboundedPreceding, 0)
+    both = bars.unionByName(asks, allowMissingColumns=True).withColumn("__ql_next", F.last("__ql_v", ignorenulls=True).over(back))
+    return both.filter("__ql_asks").select("__ql_row.*", C("__ql_next.v").alias(name))
 
 
 def future_extremes(df: DataFrame, h: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.expr import by_date, divide, true_range
+from quantloom.functions.expr import by_date, divide, guarded, true_range
 from quantloom.operators.windows import swings
 
 C = F.col
@@ -44,6 +44,12 @@ def fib_position(snapshot: DataFrame) -> DataFrame:
     return snapshot.withColumn("fib_percent", 100 * divide(C("swing_high") - C("last_close"), C("swing_high") - C("swing_low")))
 
 
+def fib_position_by_bar(df: DataFrame, lookback: int = 100) -> DataFrame:
+    """``fib_percent`` of every bar: where its close stands between the swing high (0) and low (100) of its last ``lookback`` bars."""
+    high, low = guarded(F.max, C("High"), lookback), guarded(F.min, C("Low"), lookback)
+    return df.withColumns({"swing_high": high, "swing_low": low}).withColumn("fib_percent", 100 * divide(C("swing_high") - C("Close"), C("swing_high") - C("swing_low"))).drop("swing_high", "swing_low")
+
+
 def fib_from_swings(df: DataFrame, depth: int = 5) -> DataFrame:
     """Levels between the last confirmed swing high and the last swing low before it, else after it."""
     marked = swings(df, depth, depth, "High", "Low")
@@ -56,38 +62,52 @@ def fib_from_swings(df: DataFrame, depth: int = 5) -> DataFrame:
     return near.select("Ticker", C("top.High").alias("swing_high"), low.alias("swing_low")).withColumn("levels", _levels(C("swing_high"), C("swing_low")))
 
 
+def _base(x: np.ndarray) -> np.ndarray:
+    """For each value the least one since the last larger value, by a stack of falling values that hold the least one below them."""
+    out, above, low = np.empty(len(x)), [], []
+    for k, v in enumerate(x.tolist()):
+        least = v
+        while above and above[-1] <= v:
+            above.pop()
+            least = min(least, low.pop())
+        above.append(v)
+        low.append(least)
+        out[k] = least
+    return out
+
+
 def _peaks(x: np.ndarray, distance: int, prominence: float) -> np.ndarray:
     """Local maxima (of plateaus the middle), those too close to a higher one left out, of at least ``prominence``."""
     edges = np.flatnonzero(np.diff(x)) + 1
     starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(x)]])
     value = x[starts] if len(x) else x
-    inner = [k for k in range(1, len(value) - 1) if value[k - 1] < value[k] > value[k + 1]]
-    at = np.array([(starts[k] + ends[k] - 1) // 2 for k in inner], dtype=np.int64)
+    inner = np.flatnonzero((value[:-2] < value[1:-1]) & (value[1:-1] > value[2:])) + 1
+    at = (starts[inner] + ends[inner] - 1) // 2
     keep = np.ones(len(at), dtype=bool)
-    for k in np.argsort(x[at], kind="stable")[::-1]:
+    for k in np.argsort(x[at], kind="stable")[::-1] if distance > 1 else ():
         if keep[k]:
-            near = np.abs(at - at[k]) < distance
-            near[k] = False
-            keep[near] = False
-    kept = []
-    for i in at[keep]:
-        left, right = np.flatnonzero(x[:i] > x[i]), np.flatnonzero(x[i + 1 :] > x[i])
-        low = max(x[left[-1] if len(left) else 0 : i + 1].min(), x[i : i + 2 + right[0] if len(right) else len(x)].min())
-        if x[i] - low >= prominence:
-            kept.append(i)
-    return np.array(kept, dtype=np.int64)
+            for step in (-1, 1):
+                j = k + step
+                while 0 <= j < len(at) and abs(at[j] - at[k]) < distance:
+                    keep[j] = False
+                    j += step
+    at = at[keep]
+    if not len(at):
+        return at
+    return at[x[at] - np.maximum(_base(x)[at], _base(x[::-1])[::-1][at]) >= prominence]
 
 
 def _clusters(values: np.ndarray, tolerance: float, relative: bool) -> list[np.ndarray]:
-    """Sorted values in groups: each next one joins while it is within tolerance of the group's mean."""
-    out: list[list[float]] = []
-    for v in np.sort(values):
-        mean = np.mean(out[-1]) if out else 0.0
-        if out and abs(v - mean) <= (tolerance * mean if relative else tolerance):
-            out[-1].append(v)
+    """Sorted values in groups: each next one joins while it is within tolerance of the group's mean, kept as a running sum."""
+    ordered, cuts, total, n = np.sort(values), [], 0.0, 0
+    for k, v in enumerate(ordered.tolist()):
+        mean = total / n if n else 0.0
+        if n and abs(v - mean) <= (tolerance * mean if relative else tolerance):
+            total, n = total + v, n + 1
         else:
-            out.append([v])
-    return [np.array(c) for c in out]
+            total, n = v, 1
+            cuts.append(k)
+    return np.split(ordered, cuts[1:]) if cuts else []
 
 
 def zigzag(df: DataFrame, distance: int = 5, prominence: float = 1.0) -> DataFrame:

@@ -58,12 +58,12 @@ def keyword_filter(df: DataFrame, keywords: list[str]) -> DataFrame:
 
 
 def sentiment_bucket(score: Column) -> Column:
-    return F.when(score <= -50, "Very Negative").when(score <= -10, "Negative").when(score < 10, "Neutral").when(score < 50, "Positive").otherwise("Very Positive")
+    return F.when(score <= -50, "Very Bearish").when(score <= -10, "Bearish").when(score < 10, "Neutral").when(score < 50, "Bullish").otherwise("Very Bullish")
 
 
 def published_between(df: DataFrame, start: str, end: str) -> DataFrame:
-    """Items from ``start`` up to, not at, ``end`` (UTC)."""
-    return df.filter((C("published") >= F.lit(start).cast("timestamp")) & (C("published") < F.lit(end).cast("timestamp")))
+    """Items from ``start`` to ``end`` (UTC), both included."""
+    return df.filter(C("published").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
 
 
 def with_trading_day(df: DataFrame) -> DataFrame:

@@ -98,6 +98,12 @@ def w2_ema(spark, sf_dir):
     return R.ema(bars(spark, sf_dir), 20).select(*KEY, "EMA_20")
 
 
+@query(over(f"Ticker, Date, {ewm('Close', 2 / 51)} AS EMA_50", "nb", _NUMBERED), "EMA_50", 4)
+def w2_ema_in_blocks(spark, sf_dir):
+    """The same recurrence as a prefix scan over blocks of dates."""
+    return R.ema(bars(spark, sf_dir), 50, blocks=True).select(*KEY, "EMA_50")
+
+
 _MOVES = f"{_NUMBERED}, mv AS (SELECT *, Close - lag(Close) OVER ({P}) AS m, {TR} AS tr FROM nb)"
 _WILDER = f"{_MOVES}, up AS (SELECT Ticker, Date, rn - 1 AS rn, greatest(m, 0.0) AS g, greatest(-m, 0.0) AS l FROM mv WHERE rn > 1)"
 

@@ -194,9 +194,10 @@ def x6_keyword_filter(spark, sf_dir):
     return N.keyword_filter(news(spark, sf_dir), ["the", "with", "eine", "pour"]).select("link", "keyword")
 
 
-@query(f"WITH {NEWS} SELECT link, published FROM news WHERE published >= TIMESTAMP '2024-01-03 09:45:00' AND published < TIMESTAMP '2024-01-05 03:45:00'")
+@query(f"WITH {NEWS} SELECT link, published FROM news WHERE published >= TIMESTAMP '2024-01-03 09:45:00' AND published <= TIMESTAMP '2024-01-05 03:54:00'")
 def n1_publication_window(spark, sf_dir):
-    return N.published_between(news(spark, sf_dir), "2024-01-03 09:45:00", "2024-01-05 03:45:00").select("link", "published")
+    # an item stands on the end
+    return N.published_between(news(spark, sf_dir), "2024-01-03 09:45:00", "2024-01-05 03:54:00").select("link", "published")
 
 
 @query(f"WITH {NEWS} SELECT link, CAST(published - INTERVAL 225 MINUTE AS DATE) AS day, strftime(published + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M') AS published_ist FROM news")
@@ -213,7 +214,7 @@ def n4_sentiment_by_stock(spark, sf_dir):
     return N.sentiment_by(_scored_news(spark, sf_dir), ["stock"])
 
 
-@query(f"WITH {_CLEAN}, m AS (SELECT round(sum(score * weight) / sum(weight), 2) AS market_index FROM sn) SELECT market_index, CASE WHEN market_index <= -50 THEN 'Very Negative' WHEN market_index <= -10 THEN 'Negative' WHEN market_index < 10 THEN 'Neutral' WHEN market_index < 50 THEN 'Positive' ELSE 'Very Positive' END AS mood FROM m")
+@query(f"WITH {_CLEAN}, m AS (SELECT round(sum(score * weight) / sum(weight), 2) AS market_index FROM sn) SELECT market_index, CASE WHEN market_index <= -50 THEN 'Very Bearish' WHEN market_index <= -10 THEN 'Bearish' WHEN market_index < 10 THEN 'Neutral' WHEN market_index < 50 THEN 'Bullish' ELSE 'Very Bullish' END AS mood FROM m")
 def n5_x8_market_index(spark, sf_dir):
     return N.market_index(_scored_news(spark, sf_dir))
 

@@ -202,11 +202,18 @@ def r1_r2_regimes_by_row(spark, sf_dir):
 
 
 def _stateful(spark, sf_dir):
-    needed = ["EMA_50", "EMA_200", "MACD", "MACD_signal", "RSI_14", "ATR_14", "BB_Upper", "BB_Lower"]  # the rest need not go through its memory
+    needed = ["EMA_50", "EMA_200", "MACD", "MACD_signal", "RSI_14", "ATR_14", "BB_Upper", "BB_Lower"]
     return G.regime_stateful(suite(spark, sf_dir).select(*KEY, "Close", *needed).withColumn("ATR_50", W.mean(C("ATR_14"), 50)))
 
 
-@query()
+@query(f"""{_BASE.replace('WITH ', 'WITH RECURSIVE ', 1)}, ra AS (SELECT *, {full('avg', 'ATR_14', 50)} AS ATR_50 FROM s_s),
+    rb AS (SELECT *, MACD - MACD_signal AS hist FROM ra WHERE BB_Upper IS NOT NULL AND RSI_14 IS NOT NULL AND ATR_14 IS NOT NULL AND ATR_50 IS NOT NULL),
+    rc AS (SELECT *, row_number() OVER ({P}) AS pos, hist < 0 AND coalesce(lag(hist) OVER ({P}) < 0, false) AND coalesce(lag(hist, 2) OVER ({P}) < 0, false) AS falling FROM rb),
+    rd AS (SELECT Ticker, Date, pos, CASE WHEN EMA_50 > EMA_200 AND hist > 0 AND RSI_14 > 55 THEN 'Bullish' WHEN EMA_50 < EMA_200 AND hist < 0 AND RSI_14 < 40 AND falling AND pos > 3 AND Close < EMA_50 THEN 'Bearish' WHEN ATR_14 > ATR_50 AND abs(hist) > 50 THEN 'High Volatility' END AS own FROM rc),
+    re AS (SELECT Ticker, Date, pos, coalesce(own, 'Neutral') AS regime, 0 AS again FROM rd WHERE pos = 1
+           UNION ALL SELECT Ticker, Date, pos, now, CASE WHEN now = before THEN again + 1 ELSE 0 END FROM (
+               SELECT rd.*, re.regime AS before, re.again, coalesce(own, CASE WHEN re.regime IN ('Bullish', 'Bearish') AND re.again < 5 THEN re.regime ELSE 'Neutral' END) AS now FROM re JOIN rd ON re.Ticker = rd.Ticker AND rd.pos = re.pos + 1))
+    SELECT Ticker, Date, regime, CASE regime WHEN 'Bearish' THEN -1 WHEN 'Bullish' THEN 1 WHEN 'High Volatility' THEN 2 ELSE 0 END AS regime_code FROM re""")
 def r3_regime_stateful(spark, sf_dir):
     return X.regime_code(_stateful(spark, sf_dir), "regime").select(*KEY, "regime", "regime_code")
 
@@ -264,22 +271,52 @@ def f3_fib_from_swings(spark, sf_dir):
     return V.fib_from_swings(bars(spark, sf_dir)).drop("levels")
 
 
-@query()
+_RUNS = """ix AS (SELECT *, row_number() OVER (PARTITION BY Ticker, kind ORDER BY Date) - 1 AS i FROM sr),
+    ic AS (SELECT *, (y IS DISTINCT FROM lag(y) OVER (PARTITION BY Ticker, kind ORDER BY i))::INT AS new FROM ix),
+    ir AS (SELECT *, sum(new) OVER (PARTITION BY Ticker, kind ORDER BY i) AS run FROM ic),
+    rn AS (SELECT Ticker, kind, run, min(i) AS a, max(i) AS b, any_value(y) AS y FROM ir GROUP BY ALL),
+    cd AS (SELECT Ticker, kind, (a + b) // 2 AS pos, y FROM rn QUALIFY lag(y) OVER (PARTITION BY Ticker, kind ORDER BY run) < y AND lead(y) OVER (PARTITION BY Ticker, kind ORDER BY run) < y)"""
+_ZZ = f"""sr AS (SELECT Ticker, Date, 'peak' AS kind, Close AS y FROM bars UNION ALL SELECT Ticker, Date, 'trough', -Close FROM bars), {_RUNS},
+    cr AS (SELECT *, row_number() OVER (PARTITION BY Ticker, kind ORDER BY y DESC, pos DESC) AS r FROM cd),
+    pk AS (SELECT Ticker, kind, r, [pos] AS kept FROM cr WHERE r = 1
+           UNION ALL SELECT pk.Ticker, pk.kind, cr.r, CASE WHEN len(list_filter(kept, lambda k: abs(k - pos) < 5)) > 0 THEN kept ELSE list_append(kept, pos) END FROM pk JOIN cr ON pk.Ticker = cr.Ticker AND pk.kind = cr.kind AND cr.r = pk.r + 1),
+    kp AS (SELECT Ticker, kind, unnest(arg_max(kept, r)) AS pos FROM pk GROUP BY Ticker, kind),
+    ky AS (SELECT kp.*, ix.y, ix.Date FROM kp JOIN ix ON kp.Ticker = ix.Ticker AND kp.kind = ix.kind AND pos = i),
+    lb AS (SELECT ky.*, coalesce(max(ix.i) FILTER (ix.i < pos AND ix.y > ky.y), 0) AS l, coalesce(min(ix.i) FILTER (ix.i > pos AND ix.y > ky.y), 1000000000) AS r FROM ky JOIN ix ON ky.Ticker = ix.Ticker AND ky.kind = ix.kind GROUP BY ALL),
+    pr AS (SELECT lb.*, min(ix.y) FILTER (ix.i BETWEEN l AND pos) AS lm, min(ix.y) FILTER (ix.i BETWEEN pos AND lb.r) AS rm FROM lb JOIN ix ON lb.Ticker = ix.Ticker AND lb.kind = ix.kind GROUP BY ALL),
+    zz AS (SELECT Ticker, Date, abs(y) AS price, kind FROM pr WHERE y - greatest(lm, rm) >= 1.0)"""
+_LEGS = "lg AS (SELECT Ticker, lag(Date) OVER w AS start_date, Date AS end_date, lag(price) OVER w AS start_price, price AS end_price FROM zz WINDOW w AS (PARTITION BY Ticker ORDER BY Date, kind))"
+
+
+def _grouped(points: str, tolerance: str) -> str:
+    """SQL of sorted prices in groups around their running mean."""
+    return f"""zs AS (SELECT *, row_number() OVER (PARTITION BY Ticker ORDER BY price) AS k FROM {points}),
+    zc AS (SELECT Ticker, k, price, 1 AS c, price AS total, 1 AS n FROM zs WHERE k = 1
+           UNION ALL SELECT zs.Ticker, zs.k, zs.price, CASE WHEN near THEN c ELSE c + 1 END, CASE WHEN near THEN total + zs.price ELSE zs.price END, CASE WHEN near THEN n + 1 ELSE 1 END
+           FROM (SELECT zc.*, x.price AS next, abs(x.price - total / n) <= {tolerance} AS near FROM zc JOIN zs x ON zc.Ticker = x.Ticker AND x.k = zc.k + 1) q JOIN zs ON q.Ticker = zs.Ticker AND zs.k = q.k + 1),
+    zg AS (SELECT Ticker, c, min(price) AS low, max(price) AS high, count(*) AS n FROM zc GROUP BY Ticker, c)"""
+
+
+@query(f"WITH RECURSIVE {BARS}, {_ZZ} SELECT * FROM zz")
 def f4_zigzag(spark, sf_dir):
     return V.zigzag(bars(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {BARS}, {_ZZ}, {_grouped('zz', '0.01 * (total / n)')} SELECT Ticker, row_number() OVER (PARTITION BY Ticker ORDER BY n DESC, c)::INT AS zone_rank, low, high, n::DOUBLE AS strength FROM zg WHERE n >= 2 AND (high - low) / low > 0.001 AND (high - low) / low < 0.03 QUALIFY zone_rank <= 5")
 def f5_zones(spark, sf_dir):
     return V.zones(V.zigzag(bars(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH RECURSIVE {BARS}, {_ZZ}, {_LEGS} SELECT Ticker, start_date, end_date, label, end_price - (end_price - start_price) * x AS price FROM lg, (VALUES (0.0::DOUBLE, '0%'), (0.236, '23%'), (0.382, '38%'), (0.5, '50%'), (0.618, '61%'), (0.786, '78%'), (1.0, '100%')) v(x, label) WHERE abs((end_price - start_price) / start_price) >= 0.01", "price")
 def f6_fib_legs(spark, sf_dir):
     return V.fib_legs(V.zigzag(bars(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BARS}, sr AS (SELECT Ticker, Date, 'peak' AS kind, High AS y FROM bars UNION ALL SELECT Ticker, Date, 'trough', -Low FROM bars), {_RUNS},
+    tn AS (SELECT Ticker, Date, Close, row_number() OVER ({P}) AS rn, count(*) OVER (PARTITION BY Ticker) AS nt, row_number() OVER (PARTITION BY Ticker ORDER BY Date DESC) AS nth, {TR} AS tr FROM bars),
+    tl AS (SELECT Ticker, avg(tr) / 2 AS tol FROM tn WHERE nth <= 14 AND nt >= 14 GROUP BY Ticker), zp AS (SELECT Ticker, abs(y) AS price, tol FROM cd JOIN tl USING (Ticker)), {_grouped('zp', 'x.tol')},
+    zi AS (SELECT zg.Ticker, low, high, n AS touches, sum(CASE WHEN nt > 1 THEN 0.7 + (1 - 0.7) * (rn - 1) / (nt - 1) ELSE 0.7 END) AS strength FROM zg JOIN tn ON zg.Ticker = tn.Ticker AND Close BETWEEN low AND high WHERE n >= 2 GROUP BY ALL)
+    SELECT Ticker, row_number() OVER (PARTITION BY Ticker ORDER BY strength DESC, low)::INT AS zone_rank, low, high, touches::INT AS touches, strength FROM zi QUALIFY zone_rank <= 5""", "strength")
 def f7_j7_atr_zones(spark, sf_dir):
     return V.atr_zones(bars(spark, sf_dir)).select("Ticker", "zone_rank", "low", "high", "touches", "strength")
 
@@ -297,7 +334,7 @@ def f8_nearest_levels(spark, sf_dir):
     return V.nearest_levels(bars(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {BARS}, {_ZZ}, {_LEGS} SELECT *, CAST(start_date + (datediff('day', start_date, end_date) // 2)::INT AS DATE) AS mid_date, (start_price + end_price) / 2 AS mid_price FROM lg WHERE start_date IS NOT NULL", "mid_price")
 def f9_leg_midpoints(spark, sf_dir):
     return V.leg_midpoints(V.zigzag(bars(spark, sf_dir)))
 
@@ -307,6 +344,12 @@ def _last(spark, sf_dir):
     return S.last_with(S.with_screen_columns(suite(spark, sf_dir)), V.fib_position(V.fib_snapshot(b)).select("Ticker", "fib_percent"))
 
 
+def _every(spark, sf_dir):
+    """Screen columns and the Fibonacci position of every bar, for few last bars fulfil all conditions."""
+    return V.fib_position_by_bar(S.with_screen_columns(suite(spark, sf_dir)), 10)
+
+
+_EVERY = f"{_BASE}, la AS (SELECT *, 100 * ({full('max', 'High', 10)} - Close) / nullif({full('max', 'High', 10)} - {full('min', 'Low', 10)}, 0) AS fib_percent FROM s_s)"
 _LAST = f"{_BASE}, {_FIB}, la AS (SELECT s_s.*, 100 * (sh - last_close) / (sh - sl) AS fib_percent FROM s_s LEFT JOIN fn ON s_s.Ticker = fn.Ticker QUALIFY row_number() OVER (PARTITION BY s_s.Ticker ORDER BY Date DESC) = 1)"
 _LABELS = """CASE WHEN EMA_20 > EMA_50 THEN 'Bullish' ELSE 'Bearish' END AS ema_label, CASE WHEN RSI_14 > 70 THEN 'Overbought' WHEN RSI_14 < 30 THEN 'Oversold' ELSE 'Neutral' END AS rsi_label,
     CASE WHEN Close > VWAP THEN 'Reclaimed' ELSE 'Below' END AS vwap_label, CASE WHEN Volume > volume_mean THEN 'High' ELSE 'Low' END AS volume_label"""
@@ -327,20 +370,20 @@ def s4_annotated_scan(spark, sf_dir):
     return S.annotate(_last(spark, sf_dir)).select(*KEY, "ema_label", "rsi_label", "vwap_label", "volume_label")
 
 
-@query(f"{_LAST} SELECT Ticker, Date FROM la WHERE EMA_20 > EMA_50 AND MACD > MACD_signal AND Close > VWAP AND RSI_14 > 45 AND RSI_14 < 60 AND Volume > volume_mean AND fib_percent BETWEEN 45 AND 61")
+@query(f"{_EVERY} SELECT Ticker, Date FROM la WHERE EMA_20 > EMA_50 AND MACD > MACD_signal AND Close > VWAP AND RSI_14 > 45 AND RSI_14 < 60 AND Volume > volume_mean AND fib_percent BETWEEN 45 AND 61")
 def s5_bullish(spark, sf_dir):
-    return S.screen_bullish(_last(spark, sf_dir)).select(*KEY)
+    return S.screen_bullish(_every(spark, sf_dir)).select(*KEY)
 
 
-@query(f"{_LAST} SELECT Ticker, Date FROM la WHERE EMA_20 < EMA_50 AND MACD < MACD_signal AND Close < VWAP AND RSI_14 > 40 AND RSI_14 < 55 AND Volume > volume_mean AND fib_percent BETWEEN 38 AND 50")
+@query(f"{_EVERY} SELECT Ticker, Date FROM la WHERE EMA_20 < EMA_50 AND MACD < MACD_signal AND Close < VWAP AND RSI_14 > 40 AND RSI_14 < 55 AND Volume > volume_mean AND fib_percent BETWEEN 38 AND 50")
 def s6_bearish(spark, sf_dir):
-    return S.screen_bearish(_last(spark, sf_dir)).select(*KEY)
+    return S.screen_bearish(_every(spark, sf_dir)).select(*KEY)
 
 
-@query(f"{_BASE}, la AS (SELECT * FROM s_s QUALIFY row_number() OVER (PARTITION BY Ticker ORDER BY Date DESC) = 1) SELECT Ticker, Date, Close, CASE WHEN Close > BB_Upper THEN 'Bullish' ELSE 'Bearish' END AS direction FROM la WHERE (Close >= BB_Upper * 0.99 OR Close <= BB_Lower * 1.01) AND Volume >= volume_mean * 1.5")
+@query(f"{_BASE} SELECT Ticker, Date, Close, CASE WHEN Close > BB_Upper THEN 'Bullish' ELSE 'Bearish' END AS direction FROM s_s WHERE (Close >= BB_Upper * 0.99 OR Close <= BB_Lower * 1.01) AND Volume >= volume_mean * 1.5")
 def s7_neutral_breakout(spark, sf_dir):
-    wide = W.atr(W.bollinger(bars(spark, sf_dir)))
-    return S.screen_neutral_breakout(S.latest(S.with_screen_columns(wide))).select(*KEY, "Close", "direction")
+    # over all bars, for few last ones break out
+    return S.screen_neutral_breakout(S.with_screen_columns(W.atr(W.bollinger(bars(spark, sf_dir))))).select(*KEY, "Close", "direction")
 
 
 @query(f"{_LAST} SELECT Ticker, Date FROM la WHERE ATR_14 > atr_mean * 1.5 AND ((RSI_14 < 30 AND fib_percent >= 61) OR (RSI_14 > 70 AND fib_percent <= 38))")
@@ -367,10 +410,15 @@ def s11_signal_c(spark, sf_dir):
     return S.signal_c(suite(spark, sf_dir)).filter("take_trade").select(*KEY)
 
 
-@query(f"""{_BASE} SELECT Ticker, Date FROM (SELECT *, {full('avg', 'ATR_14', 14)} AS a14, lag(RSI_14) OVER ({P}) AS r1, lag(Close) OVER ({P}) AS c1 FROM s_s)
+_SMOOTH = f"WITH {BARS}, sm AS (SELECT Ticker, Date, {', '.join(f'avg({c}) OVER {frame(10)} AS {c}' for c in ('Open', 'High', 'Low', 'Close'))}, Volume FROM bars), {_suite_sql('s', 'sm')}"
+
+
+@query(f"""{_SMOOTH} SELECT Ticker, Date FROM (SELECT *, {full('avg', 'ATR_14', 14)} AS a14, lag(RSI_14) OVER ({P}) AS r1, lag(Close) OVER ({P}) AS c1 FROM s_s)
     WHERE EMA_20 >= EMA_50 * 0.985 AND RSI_14 < 45 AND K < 40 AND Close <= BB_Lower * 1.02 AND Volume < volume_mean * 0.9 AND ATR_14 > a14 * 1.05 AND Close - Low > High - Close AND coalesce(RSI_14 > r1, false)::INT + coalesce(K > D, false)::INT + coalesce(Close > c1, false)::INT >= 2""")
 def s12_signal_c_plus(spark, sf_dir):
-    return S.signal_c_plus(suite(spark, sf_dir)).filter("take_trade").select(*KEY)
+    # prices of ten bars' mean, for single trades never close so far below their band
+    smooth = bars(spark, sf_dir).withColumns({c: F.avg(c).over(W.rolling(10)) for c in ("Open", "High", "Low", "Close")})
+    return S.signal_c_plus(R.indicator_suite(smooth)).filter("take_trade").select(*KEY)
 
 
 @query(f"""{_BASE} SELECT Ticker, Date FROM (SELECT *, lag(RSI_14) OVER ({P}) AS r1 FROM s_s)
@@ -433,6 +481,12 @@ def ag3_performance_by_outcome(spark, sf_dir):
     return E.performance_by_outcome(L.bracket_trade(d, C("Donchian_Upper"), C("Donchian_Lower") * 0.99))
 
 
+@query(f"WITH {BARS}, {_OUT}, r AS (SELECT CASE o WHEN 'TP_HIT' THEN tp WHEN 'NONE' THEN Close ELSE sl END / Close - 1 AS r FROM oc) SELECT count(r) AS trades, count(*) FILTER (r > 0) / count(r) AS success_rate, avg(r) AS mean_return, 6 + count(r) * log10(1 + avg(r)) AS final_log10 FROM r", "success_rate mean_return final_log10", 5)
+def ag3_performance(spark, sf_dir):
+    found = E.performance(_outcomes(spark, sf_dir).withColumn("trade_return", C("PL") / C("Close")), 1_000_000.0)
+    return found.withColumn("final_log10", F.log10("final_value")).drop("final_value")
+
+
 def _scored(spark, sf_dir):
     b = X.binary_target(L.future_return(bars(spark, sf_dir), 5), 0.0).dropna(subset=["future_return"])
     digest = F.conv(F.substring(F.md5(F.concat_ws("|", "Ticker", C("Date").cast("string"))), 1, 6), 16, 10).cast("double") / 16777216.0
@@ -447,7 +501,8 @@ def ag4_trade_metrics(spark, sf_dir):
     return E.trade_metrics(_scored(spark, sf_dir), 0.7)
 
 
-_GRID = "tt AS (SELECT k / 50.0 AS threshold, count(prob) AS trades, count(*) FILTER (target = 1) / nullif(count(prob), 0) AS precision FROM range(50) t(k) LEFT JOIN sc ON least(floor(prob * 50), 49) >= k GROUP BY k)"
+_GRID = """gr AS (SELECT k, CASE WHEN k = 49 THEN 0.95::DOUBLE ELSE 0.5::DOUBLE + (0.95::DOUBLE - 0.5::DOUBLE) / 49::DOUBLE * k END AS threshold FROM range(50) t(k)),
+    tt AS (SELECT threshold, count(prob) AS trades, count(*) FILTER (target = 1) / nullif(count(prob), 0) AS precision FROM gr LEFT JOIN sc ON prob >= threshold GROUP BY threshold)"""
 
 
 @query(over("threshold, CAST(trades AS BIGINT) AS trades, precision", "tt", f"{_SCORED}, {_GRID}"), "threshold precision")
@@ -455,9 +510,11 @@ def ag5_threshold_table(spark, sf_dir):
     return E.threshold_table(_scored(spark, sf_dir))
 
 
-@query(over("coalesce(min(threshold), 0.5) AS threshold", "tt WHERE trades >= 100 AND precision >= 0.505", f"{_SCORED}, {_GRID}"), "threshold")
+@query(over("coalesce(min(threshold), 0.5) AS threshold", "tt WHERE trades >= 100 AND precision >= (SELECT max(precision) - 0.002 FROM tt WHERE trades >= 100)", f"{_SCORED}, {_GRID}"), "threshold")
 def ag5_select_threshold(spark, sf_dir):
-    return E.select_threshold(_scored(spark, sf_dir), 100, 0.505)
+    scored = _scored(spark, sf_dir)  # the floor is just below the best precision, so that the first threshold is seldom the one
+    best = E.threshold_table(scored).filter("trades >= 100").agg(F.max("precision").alias("p")).first()["p"]
+    return E.select_threshold(scored, 100, best - 0.002)
 
 
 @query(over("count(prob) AS n, avg(prob) AS mean, stddev_samp(prob) AS std, min(prob) AS min, " + ", ".join(f"quantile_cont(prob, 0.{x}) AS p{x}" for x in (25, 50, 75, 90, 95, 99)) + ", max(prob) AS max", "sc", _SCORED), "mean std min p25 p50 p75 p90 p95 p99 max")

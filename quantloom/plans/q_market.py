@@ -9,12 +9,15 @@ from quantloom.operators import news as N
 from quantloom.operators import options as O
 from quantloom.operators import windows as W
 from quantloom.operators.evaluate import split_by_ticker
+from quantloom.operators.regime import append_forecast, forecast, regime_5
 from quantloom.plans.inputs import BARS, CHAIN, NEWS, bars, chain, news, news_items, table
-from quantloom.plans.q_bars import KEY
-from quantloom.plans.q_research import _R5, _stateful, suite  # noqa: F401
+from quantloom.plans.q_bars import KEY, over
+from quantloom.plans.q_research import _suite_sql, suite
 from quantloom.plans.registry import query
-from quantloom.sources import files
+from quantloom.sources import files, store
+from quantloom.sources.vendor import register
 from quantloom.streaming import streams
+from quantloom.streaming.indicators import stream_indicators
 
 C = F.col
 AS_OF = "2024-01-10"
@@ -303,22 +306,83 @@ _FEATURES = ["RSI_14", "log_return", "pct_change", "range", "Volume"]
 @query()
 def m2_boosted_trees(spark, sf_dir):
     rows = M.with_class_weight(_ml(spark, sf_dir))
-    model = M.boosted_trees(_FEATURES, maxIter=20, maxDepth=6, stepSize=0.05, subsamplingRate=0.8).fit(rows.filter("NOT is_test"))
+    model = M.boosted_trees(_FEATURES, maxIter=20).fit(rows.filter("NOT is_test"))
     return M.probabilities(model, rows.filter("is_test")).select(*KEY, "target", "prob")
 
 
 @query()
 def m3_grid_search(spark, sf_dir):
+    """Two kinds of learner, folds by ticker; of the boosted trees' grid of 48 settings the depths and steps only, with few trees."""
     rows = M.with_class_weight(_ml(spark, sf_dir)).filter("NOT is_test")
-    found = M.grid_search(rows, _FEATURES)
-    best = found.bestModel.stages[-1]
-    return rows.agg(F.count("*").alias("rows"), F.lit(best.getMaxDepth()).alias("depth"), F.lit(float(max(found.avgMetrics))).alias("precision"))
+    grids = {"boosted": ({"maxDepth": (3, 6), "stepSize": (0.05, 0.1)}, {"maxIter": 10}), "logistic": ({"regParam": (0.0, 0.1), "elasticNetParam": (0.0, 1.0)}, {})}
+    out = None
+    for kind, (grid, fixed) in grids.items():
+        found = M.grid_search(rows, _FEATURES, kind=kind, grid=grid, **fixed)
+        best = max(range(len(found.avgMetrics)), key=lambda k, found=found: found.avgMetrics[k])
+        setting = ", ".join(sorted(f"{p.name}={v}" for p, v in found.getEstimatorParamMaps()[best].items()))
+        own = rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.lit(setting).alias("setting"), F.lit(float(found.avgMetrics[best])).alias("precision"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 @query()
-def r6_regime_forest(spark, sf_dir):
-    from quantloom.operators.regime import regime_5
+def m4_m5_ensemble_of_saved_models(spark, sf_dir):
+    """Three learners are fitted on the training tickers, saved, loaded again and blended on the other tickers."""
+    rows, folder = _ml(spark, sf_dir), files.shared_folder(spark, "models")
+    M.train_and_save(rows.filter("NOT is_test"), _FEATURES, folder, {"boosted": {"maxIter": 10, "maxDepth": 4}, "forest": {"numTrees": 20, "maxDepth": 6}, "logistic": {}})
+    scored = M.score_with_saved(rows.filter("is_test"), folder, {"boosted": 1.0, "forest": 1.0, "logistic": 1.0})
+    return scored.select(*KEY, "target", "prob_boosted", "prob_forest", "prob_logistic", "prob")
+
+
+_REGIME_FEATURES = ["EMA_50", "EMA_200", "RSI_14", "ATR_14", "MACD", "MACD_signal", "BB_Upper", "BB_Lower"]
+
+
+def _regimes(spark, sf_dir):
+    return regime_5(suite(spark, sf_dir)).withColumnRenamed("regime_5", "regime")
+
 
-    rows = regime_5(suite(spark, sf_dir)).withColumnRenamed("regime_5", "regime")
-    model, test = M.regime_forest(rows, ["EMA_50", "EMA_200", "RSI_14", "ATR_14", "MACD", "MACD_signal", "BB_Upper", "BB_Lower"])
+@query()
+def r6_regime_forest(spark, sf_dir):
+    model, test = M.regime_forest(_regimes(spark, sf_dir), _REGIME_FEATURES)
     return model.transform(test).select(*KEY, "regime", "regime_index", "prediction")
+
+
+@query()
+def r6_r7_forecast_by_forest(spark, sf_dir):
+    """A forest's mean class probabilities of each ticker's last ten bars, from the saved model, blended with the ticker's own transitions."""
+    rows, folder = _regimes(spark, sf_dir), files.shared_folder(spark, "models")
+    model, _ = M.regime_forest(rows, _REGIME_FEATURES, trees=40)
+    model.write().save(folder)
+    found = rows.select(*KEY, "regime")
+    return append_forecast(found, forecast(found, 15, M.recent_probabilities(M.load_model(folder), rows)))
+
+
+@query(f"WITH RECURSIVE {BARS}, ev AS (SELECT Ticker, Date, Open, High, Low, Close, Volume FROM ({_EVENT_BARS})), {_suite_sql('s', 'ev')} SELECT Ticker, Date, Close, EMA_20, EMA_50, EMA_200, MACD, MACD_signal, RSI_14, ATR_14, BB_Upper, BB_Lower FROM s_s", "EMA_20 EMA_50 EMA_200 MACD MACD_signal RSI_14 ATR_14 BB_Upper BB_Lower", 4)
+def g2_stream_indicators(spark, sf_dir):
+    """Bars of events come as a stream of files; averages and windows of each ticker are state from batch to batch."""
+    out = files.shared_folder(spark, "streams")
+    files.write_table(streams.stream_bars(_ticks(table(spark, sf_dir, "events"))), f"{out}/bars")
+    arriving = spark.readStream.schema(spark.read.parquet(f"{out}/bars").schema).parquet(f"{out}/bars")
+    found = streams.run_available(stream_indicators(arriving), f"{out}/indicators", f"{out}/checkpoint", "append")
+    return found.drop("regime")
+
+
+@query(over("Ticker, Date, Open, High, Low, Close, Volume", "bars WHERE length(Ticker) = 2 AND Ticker < '50' AND Date >= DATE '1996-06-01'"))
+def io3_vendor_source(spark, sf_dir):
+    """Bars written as a vendor delivers them, read through the data source: tickers leave out files, dates leave out rows."""
+    out, wanted = files.shared_folder(spark, "vendor"), [str(k) for k in range(10, 50)]
+    names = {"Open": "OpenPrice", "High": "HighPrice", "Low": "LowPrice", "Close": "ClosePrice", "Volume": "TotalTradedQuantity"}
+    vendor = bars(spark, sf_dir).withColumnsRenamed(names).withColumn("symbol", C("Ticker")).drop("Ticker").repartition("symbol")
+    files.write_table(vendor, out, partition_by=["symbol"], format="csv")
+    register(spark)
+    found = spark.read.format("vendor_bars").load(out)
+    return found.filter(C("Ticker").isin(wanted) & (C("Date") >= F.lit("1996-06-01").cast("date")))
+
+
+@query(over("Ticker, Date, CASE WHEN day(Date) > 20 AND year(Date) >= 1996 THEN Close + 1 ELSE Close END AS Close", "bars WHERE day(Date) > 10 OR year(Date) < 1997"))
+def io6_io8_store_of_bars(spark, sf_dir):
+    """Two upserts into a lasting store: the second one corrects some bars, and years that it doesn't touch stay as they are."""
+    folder, b = files.shared_folder(spark, "store"), bars(spark, sf_dir).select(*KEY, "Close")
+    store.upsert(spark, folder, b.filter("day(Date) > 10 OR year(Date) < 1997"))
+    store.upsert(spark, folder, b.filter("day(Date) > 20 AND year(Date) >= 1996").withColumn("Close", C("Close") + 1))
+    return store.read_store(spark, folder, "Ticker string, Date date, Close double")

@@ -583,10 +583,16 @@ def m1_j8_split_by_ticker(spark, sf_dir):
     return E.split_by_ticker(bars(spark, sf_dir).select(*KEY))
 
 
-@query(over("Ticker, Date, (prob * 0.4 + (1 - prob) * 0.3 + target * 0.3) / 1.0 AS prob", "sc", _SCORED), "prob")
+_VOTES = f"""{_SCORED}, vo AS (SELECT sc.Ticker, sc.Date, prob AS a, 1 / (1 + exp(-10 * m)) AS b, 1 / (1 + exp(-Volume / 50)) AS c FROM sc JOIN (SELECT Ticker, Date, Volume, coalesce(Close / lag(Close, 5) OVER ({P}) - 1, 0) AS m FROM bars) USING (Ticker, Date))"""
+
+
+@query(over("Ticker, Date, (a * 0.4 + b * 0.3 + c * 0.3) / 1.0 AS prob", "vo", _VOTES), "prob")
 def m4_ensemble(spark, sf_dir):
-    s = _scored(spark, sf_dir).withColumnRenamed("prob", "a").withColumn("b", 1 - C("a"))
-    return E.ensemble(s, {"a": 0.4, "b": 0.3, "target": 0.3}).select(*KEY, "prob")
+    """Weights over three scores that know nothing of what comes: a digest, the last five bars' return, the volume."""
+    b = bars(spark, sf_dir)
+    own = b.select(*KEY, (1 / (1 + F.exp(-10 * F.coalesce(C("Close") / F.lag("Close", 5).over(W.by_date()) - 1, F.lit(0.0))))).alias("b"), (1 / (1 + F.exp(-C("Volume") / 50))).alias("c"))
+    s = _scored(spark, sf_dir).select(*KEY, C("prob").alias("a")).join(own, KEY)
+    return E.ensemble(s, {"a": 0.4, "b": 0.3, "c": 0.3}).select(*KEY, "prob")
 
 
 @query(over("Ticker, Date, future_return, prob", "sc WHERE prob >= 0.7 ORDER BY prob DESC, Ticker, Date LIMIT 100", _SCORED), "future_return")

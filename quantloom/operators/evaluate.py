@@ -242,6 +242,29 @@ def validate_ranges(df: DataFrame, rules: dict[str, tuple[float, float]], huge:
     return df.agg(*checks).select(F.explode(F.array(*(C(f"`{c}`") for c in rules))).alias("p")).select("p.*")
 
 
+#: Ranges that values should be in by what a column's name contains; the first one that fits counts.
+EXPECTED_RANGES: dict[str, tuple[float, float]] = {
+    "_rel": (-5, 5), "EMA_diff": (-1000, 1000), "MACD_diff": (-1000, 1000), "MACD_diff_": (-1000, 1000), "BB_Width": (0, 10), "BB_Pos": (0, 1), "BB_Mid_Dev": (-10, 10),
+    "RSI_14": (0, 100), "RSI_diff": (-100, 100), "RSI_vs_": (-100, 100), "MACD": (-5000, 5000), "Range_pct": (0, 2), "Range_over_ATR": (0, 20), "Range_over_Close": (0, 1),
+    "ATR_14": (0, 5000), "ATR_vs_NIFTY": (0, 20), "ATR_vs_BANKNIFTY": (0, 20), "log_ATR_vs_NIFTY": (-5, 5), "Volume_log": (0, 20), "_Vol_log": (0, 25), "Close_range_pos": (0, 1),
+    "vol_change_pct": (-10, 10), "High_Low_ratio": (1, 5), "Close_Open_ratio": (0.2, 5), "MACD_diff_NIFTY": (-2000, 2000), "MACD_diff_BANKNIFTY": (-2000, 2000), "future_return": (-1, 1),
+    "Enhanced_Regime_for_RD": (-2, 3),
+}
+
+
+def rules_by_name(columns: list[str], ranges: dict[str, tuple[float, float]] | None = None) -> dict[str, tuple[float, float]]:
+    """The range of every column whose name contains one of the patterns."""
+    known = (ranges or EXPECTED_RANGES).items()
+    found = {c: next((bounds for pattern, bounds in known if pattern in c), None) for c in columns}
+    return {c: bounds for c, bounds in found.items() if bounds is not None}
+
+
+def validate_by_name(df: DataFrame, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """``validate_ranges`` with the rules that the numeric columns' names tell."""
+    numeric = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "decimal")]
+    return validate_ranges(df, rules_by_name(numeric, ranges))
+
+
 def fit_minmax(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, low, high``: a small table to store and apply."""
     both = df.agg(*(F.struct(F.lit(c).alias("column"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high")).alias(c) for c in columns))

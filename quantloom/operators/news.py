@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,15 +35,39 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(undated, "[â€™”“œ\u009d¦]", "'")))
 
 
+def _trie_pattern(words: list[str]) -> str:
+    """A pattern that matches the first of ``words`` (by their order) that begins at a place, with common beginnings written once."""
+    branches: dict[str, list[str]] = {}
+    for k, w in enumerate(words):
+        if not w:
+            words = words[:k]  # what is longer and comes later never counts
+            tail = [""]
+            break
+        branches.setdefault(w[0], []).append(w[1:])
+    else:
+        tail = []
+    parts = [re.escape(first) + _trie_pattern(rest) for first, rest in branches.items()] + tail
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
 def categorize(text: Column, categories: dict[str, tuple[str, ...]] | None = None, whole_words: bool = False) -> Column:
-    """First category of which a keyword stands in the text, else general."""
-    found = F.lit("general")
-    for name, words in reversed(list((categories or CATEGORIES).items())):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | (text.rlike(rf"\b\Q{w}\E\b") if whole_words else text.contains(w))
-        found = F.when(hit, name).otherwise(found)
-    return found
+    """First category of which a keyword stands in the text, else general.
+
+    One pattern of all keywords, with common beginnings written once, is looked for at every place of the text in one pass. Where keywords of several categories
+    begin at one place, that of the first category is taken.
+    """
+    known = categories or CATEGORIES
+    ranked = list(dict.fromkeys((w, k) for k, words in enumerate(known.values()) for w in words))
+    first = {w: k for w, k in reversed(ranked)}
+    # a place tells one keyword: one that begins another of no later category stands for it
+    told = [w for w in first if not any(w != v and w.startswith(v) and first[v] <= first[w] for v in first)] if not whole_words else list(first)
+    told.sort(key=lambda w: (first[w], -len(w)))
+    edge = r"\b" if whole_words else ""
+    pattern = f"{edge}(?=({_trie_pattern(told) if not whole_words else '|'.join(re.escape(w) for w in told)}){edge})"
+    ranks = F.create_map(*(F.lit(x) for w in told for x in (w, first[w])))
+    best = F.array_min(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda w: F.element_at(ranks, w)))
+    names = F.array(*(F.lit(x) for x in known))
+    return F.coalesce(F.get(names, best), F.lit("general"))
 
 
 def weight_of(category: Column, weights: dict[str, float] | None = None) -> Column:
@@ -73,11 +98,12 @@ def with_trading_day(df: DataFrame) -> DataFrame:
 
 
 def lexicon_score(text: Column, lexicon: dict[str, int] | None = None) -> Column:
-    """Share of positive less share of negative words among the lexicon's, times 100; 0 where none stands in the text."""
-    words = F.split(text, "[ \\t\\n\\x0B\\f\\r]+")
-    number = lambda sign: F.size(F.filter(words, lambda w: w.isin([k for k, v in (lexicon or LEXICON).items() if v == sign])))
-    good, bad = number(1), number(-1)
-    return F.round(F.coalesce(F.try_divide(100.0 * (good - bad), good + bad), F.lit(0.0)), 2)
+    """Share of positive less share of negative words among the lexicon's, times 100; 0 where none stands in the text. Words are read once."""
+    signs = F.create_map(*(F.lit(x) for pair in (lexicon or LEXICON).items() for x in pair))
+    found = F.filter(F.transform(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: F.try_element_at(signs, w)), lambda v: v.isNotNull())
+    both = F.aggregate(found, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")), lambda a, v: F.struct((a["sum"] + v).alias("sum"), (a["n"] + 1).alias("n")))
+    share = F.transform(F.array(both), lambda b: F.try_divide(100.0 * b["sum"], b["n"]))[0]
+    return F.round(F.coalesce(share, F.lit(0.0)), 2)
 
 
 def score_sentiment(df: DataFrame, scorer: Callable[[pd.Series], pd.Series] | None = None, column: str = "clean_title", lexicon: dict[str, int] | None = None) -> DataFrame:

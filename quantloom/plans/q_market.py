@@ -9,6 +9,7 @@ from quantloom.operators import news as N
 from quantloom.operators import options as O
 from quantloom.operators import windows as W
 from quantloom.operators.evaluate import split_by_ticker
+from quantloom.operators.sentiment import bounded_sample, fit_sentiment, score_learned
 from quantloom.operators.regime import append_forecast, forecast, regime_5
 from quantloom.plans.inputs import BARS, CHAIN, NEWS, bars, chain, news, news_items, table
 from quantloom.plans.q_bars import KEY, over
@@ -51,10 +52,11 @@ _GREEKS = f"""{CHAIN}, g0 AS (SELECT *, datediff('day', DATE '{AS_OF}', expiry)
 
 @query(f"""WITH {_GREEKS} SELECT gc.underlying, gc.expiry, gc.strike, {_cdf('gc.d1')} AS Call_Delta, exp(-gc.d1 * gc.d1 / 2) * 0.3989422804014327 / (gc.spot * v * sqrt(gc.T)) AS Call_Gamma, gc.spot * exp(-gc.d1 * gc.d1 / 2) * 0.3989422804014327 * sqrt(gc.T) / 100 AS Call_Vega,
     -(gc.spot * gc.v * exp(-gc.d1 * gc.d1 / 2) * 0.3989422804014327) / (2 * sqrt(gc.T)) / 365 AS Call_Theta, gc.strike * gc.T * exp(-0.065 * gc.T) * {_cdf('(gc.d1 - gc.v * sqrt(gc.T))')} AS Call_Rho,
-    {_cdf('gp.d1')} - 1 AS Put_Delta, -gc.strike * gc.T * exp(-0.065 * gc.T) * {_cdf('(-(gp.d1 - gp.u * sqrt(gp.T)))')} AS Put_Rho
-    FROM gc JOIN gp ON gc.underlying = gp.underlying AND gc.expiry = gp.expiry AND gc.strike = gp.strike""".replace("spot * v *", "spot * gc.v *"), "Call_Delta Call_Gamma Call_Vega Call_Theta Call_Rho Put_Delta Put_Rho")
+    {_cdf('gp.d1')} - 1 AS Put_Delta, exp(-gp.d1 * gp.d1 / 2) * 0.3989422804014327 / (gp.spot * gp.u * sqrt(gp.T)) AS Put_Gamma, gp.spot * exp(-gp.d1 * gp.d1 / 2) * 0.3989422804014327 * sqrt(gp.T) / 100 AS Put_Vega,
+    -(gp.spot * gp.u * exp(-gp.d1 * gp.d1 / 2) * 0.3989422804014327) / (2 * sqrt(gp.T)) / 365 AS Put_Theta, -gc.strike * gc.T * exp(-0.065 * gc.T) * {_cdf('(-(gp.d1 - gp.u * sqrt(gp.T)))')} AS Put_Rho
+    FROM gc JOIN gp ON gc.underlying = gp.underlying AND gc.expiry = gp.expiry AND gc.strike = gp.strike""".replace("spot * v *", "spot * gc.v *"), "Call_Delta Call_Gamma Call_Vega Call_Theta Call_Rho Put_Delta Put_Gamma Put_Vega Put_Theta Put_Rho")
 def o1_o2_greeks(spark, sf_dir):
-    return O.greeks(chain(spark, sf_dir), AS_OF).select("underlying", "expiry", "strike", "Call_Delta", "Call_Gamma", "Call_Vega", "Call_Theta", "Call_Rho", "Put_Delta", "Put_Rho")
+    return O.greeks(chain(spark, sf_dir), AS_OF).select("underlying", "expiry", "strike", "Call_Delta", "Call_Gamma", "Call_Vega", "Call_Theta", "Call_Rho", "Put_Delta", "Put_Gamma", "Put_Vega", "Put_Theta", "Put_Rho")
 
 
 def _spread(spark, sf_dir):
@@ -151,7 +153,9 @@ def o10_j10_choose_strategies(spark, sf_dir):
 @query(f"WITH {CHAIN} SELECT underlying, CAST(expiry AS VARCHAR) AS expiry, CE_strike, CE_iv, PE_strike, PE_iv FROM (SELECT underlying, expiry, strike AS CE_strike, CE_iv, strike AS PE_strike, PE_iv FROM chain)")
 def io7_x12_flatten_chain(spark, sf_dir):
     side = lambda s: F.struct(C("strike"), C(f"{s}_iv").alias("iv")).alias(s)
-    nested = chain(spark, sf_dir).groupBy("underlying").agg(F.collect_list(F.struct("underlying", C("expiry").cast("string").alias("expiry"), side("CE"), side("PE"))).alias("data"))
+    # a document holds an expiry's strikes in one of 16 parts, so no underlying is one row
+    part = F.pmod(F.xxhash64("strike"), F.lit(16))
+    nested = chain(spark, sf_dir).groupBy("underlying", C("expiry").alias("of"), part).agg(F.collect_list(F.struct("underlying", C("expiry").cast("string").alias("expiry"), side("CE"), side("PE"))).alias("data"))
     raw = nested.select(F.struct("data").alias("records"))
     text = raw.select(F.to_json(F.struct("records")).alias("j"))
     return O.flatten_chain(text.select(F.from_json("j", raw.schema).alias("r")).select("r.*"))
@@ -235,6 +239,17 @@ def n3_sentiment_score(spark, sf_dir):
     return _scored_news(spark, sf_dir).select("link", "score")
 
 
+@query()
+def n3_learned_sentiment(spark, sf_dir):
+    """News scored by a model of ``labels`` (toxic for negative), learned from a bounded sample of labelled texts; held-out rows are marked."""
+    items = _prepared(spark, sf_dir)
+    held = F.crc32(C("link").cast("binary")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").select(C("doc_id").cast("string").alias("link"), (1 - C("toxic")).cast("int").alias("positive"))
+    known = items.select("link", "clean_title").join(labels, "link")
+    model = fit_sentiment(bounded_sample(known.filter(~held), "positive", "link"))
+    return score_learned(items.select("stock", "link", "weight", "clean_title"), model).withColumn("held_out", held).drop("clean_title")
+
+
 def _ticks(df):
     return df.select(C("event_type").alias("Ticker"), C("ts").cast("timestamp").alias("ts"), C("value").alias("price"), C("event_id").alias("order"), F.lit(1.0).alias("size"))
 

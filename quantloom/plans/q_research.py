@@ -360,6 +360,11 @@ def s2_fib_band(spark, sf_dir):
     return S.screen_fib_band(_last(spark, sf_dir)).select(*KEY, "fib_percent", "ema_label", "rsi_label", "vwap_label", "volume_label")
 
 
+@query(f"{_LAST} SELECT Ticker, Date, fib_percent, {_LABELS} FROM la WHERE fib_percent BETWEEN 50 AND 61", "fib_percent")
+def s2_fib_band_narrow(spark, sf_dir):
+    return S.screen_fib_band(_last(spark, sf_dir), 50, 61).select(*KEY, "fib_percent", "ema_label", "rsi_label", "vwap_label", "volume_label")
+
+
 @query(f"{_LAST} SELECT Ticker, Date FROM la WHERE EMA_20 > EMA_50 AND RSI_14 > 40 AND RSI_14 < 60 AND Close > VWAP AND Volume > volume_mean")
 def s3_trend_volume(spark, sf_dir):
     return S.screen_trend_volume(_last(spark, sf_dir)).select(*KEY)
@@ -470,6 +475,12 @@ def ag1_bracket_backtest(spark, sf_dir):
     return found.select(*KEY, "future_bracket_outcome", "pnl_percent", F.log("cumulative_equity").alias("log_equity"))
 
 
+@query(f"{_BT.replace('(tp - Close) / Close', '(Close - tp) / Close').replace('(sl - Close) / Close', '(Close - sl) / Close')} SELECT Ticker, Date, o AS future_bracket_outcome, pnl_percent, log_equity FROM tr", "pnl_percent log_equity", 5)
+def ag1_bracket_backtest_short(spark, sf_dir):
+    found = E.bracket_backtest(_outcomes(spark, sf_dir), 1.0, "short")
+    return found.select(*KEY, "future_bracket_outcome", "pnl_percent", F.log("cumulative_equity").alias("log_equity"))
+
+
 @query(f"{_BT} SELECT count(*) AS signals, count(*) FILTER (o = 'TP_HIT') AS tp_hit, count(*) FILTER (o = 'SL_HIT') AS sl_hit, count(*) FILTER (o = 'BOTH') AS both, count(*) FILTER (o = 'NONE') AS none, count(trade_pnl) AS trades, 100.0 * count(*) FILTER (trade_pnl > 0) / count(trade_pnl) AS win_rate, avg(trade_pnl) AS expectancy, max(trade_pnl) AS max_win, min(trade_pnl) AS max_loss, sum(trade_pnl) AS total_pnl FROM tr", "win_rate expectancy max_win max_loss total_pnl", 5)
 def ag2_pnl_summary(spark, sf_dir):
     return E.pnl_summary(E.bracket_backtest(_outcomes(spark, sf_dir), 1.0))
@@ -562,6 +573,17 @@ def ag11_validate_ranges(spark, sf_dir):
     return E.validate_ranges(bars(spark, sf_dir), {"Close": (20, 1500), "Volume": (1, 60)})
 
 
+_RULED = {"RSI_14": (0, 100), "MACD": (-5000, 5000), "MACD_signal": (-5000, 5000), "ATR_14": (0, 5000), "BB_Width": (0, 10), "Range_pct": (0, 2), "EMA_20_rel": (-5, 5), "High_Low_ratio": (1, 5)}
+
+
+@query(f"{_BASE}, ru AS (SELECT RSI_14, MACD, MACD_signal, ATR_14, (BB_Upper - BB_Lower) / BB_Mid AS BB_Width, (High - Low) / Close AS Range_pct, EMA_20 / Close - 1 AS EMA_20_rel, High / Low AS High_Low_ratio, Close FROM s_s) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls, 0::BIGINT AS infinite, count(*) FILTER (abs({c}) > 1e12) AS huge, count(*) FILTER ({c} < {a} OR {c} > {b}) AS outside FROM ru" for c, (a, b) in _RULED.items()))
+def ag11_validate_by_name(spark, sf_dir):
+    """Ranges that column names tell; Close has none and is left out."""
+    s = suite(spark, sf_dir)
+    table = s.select("RSI_14", "MACD", "MACD_signal", "ATR_14", "BB_Width", ((C("High") - C("Low")) / C("Close")).alias("Range_pct"), (C("EMA_20") / C("Close") - 1).alias("EMA_20_rel"), (C("High") / C("Low")).alias("High_Low_ratio"), "Close")
+    return E.validate_by_name(table)
+
+
 @query(over("Ticker, Date, (Close - a) / (b - a) AS Close_scaled", "bars, (SELECT min(Close) AS a, max(Close) AS b FROM bars)"), "Close_scaled")
 def ag12_minmax(spark, sf_dir):
     b = bars(spark, sf_dir)

@@ -26,8 +26,8 @@ def index_features(df: DataFrame, first: str, second: str, prefixes: tuple[str,
 
 
 def join_index(df: DataFrame, idx: DataFrame) -> DataFrame:
-    """Bars with the index columns of their date. ``idx`` has a row per date: thousands at most, whatever the number of tickers."""
-    return df.join(F.broadcast(idx), "Date", "left")
+    """Bars with the index columns of their date. ``idx`` has a row per date; Spark broadcasts it where its size allows."""
+    return df.join(idx, "Date", "left")
 
 
 def outer_with_regime(df: DataFrame, regimes: DataFrame, prefix: str = "nifty50_") -> DataFrame:

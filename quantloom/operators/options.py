@@ -174,7 +174,7 @@ def margin(legs: DataFrame, lot: int = 50, hedge: float = 0.6) -> DataFrame:
 
 def choose_strategies(snapshot: DataFrame, library: DataFrame) -> DataFrame:
     """Strategies of ``library (trend, volatility, name, description)``, a small table, for a market snapshot."""
-    return snapshot.join(F.broadcast(library), ["trend", "volatility"])
+    return snapshot.join(library, ["trend", "volatility"])
 
 
 def flatten_chain(raw: DataFrame) -> DataFrame:

@@ -95,4 +95,4 @@ def ewm(x: str, alpha: float) -> str:
     """SQL of a recursive exponential average of a column without nulls, in closed form, over rows numbered ``rn`` from 1."""
     r = 1 - alpha
     c = f"CASE WHEN rn = 1 THEN {x} ELSE {alpha!r} * {x} END"
-    return f"pow({r!r}, rn) * sum(({c}) * pow({r!r}, -rn)) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN rn = 1 THEN {x} ELSE pow({r!r}, rn) * sum(({c}) * pow({r!r}, -rn)) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END"

@@ -30,10 +30,14 @@ def io3_normalize_vendor_columns(spark, sf_dir):
     return B.normalize_ohlcv(vendor)
 
 
-@query(over("Ticker, Date, Close FROM bars WHERE Date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND Ticker IN (SELECT Ticker FROM bars WHERE Date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' GROUP BY Ticker HAVING count(CASE WHEN Volume > 40 THEN Close END) > 0) --", ""))
+_YEARLY = "yb AS (SELECT Ticker || '-' || year(Date) AS Ticker, Date, Close, Volume FROM bars)"
+
+
+@query(over("Ticker, Date, Close", "yb WHERE Ticker IN (SELECT Ticker FROM yb GROUP BY Ticker HAVING count(CASE WHEN Volume > 80 THEN Close END) > 0)", _YEARLY))
 def io4_drop_empty_tickers(spark, sf_dir):
-    some = B.between_dates(bars(spark, sf_dir), "1996-01-01", "1996-12-31")
-    thin = some.withColumn("Kept", F.col("Close")).withColumn("Close", F.when(F.col("Volume") > 40, F.col("Close")))
+    """A ticker for each supplier and year, for over all years every supplier has a close."""
+    yearly = bars(spark, sf_dir).withColumn("Ticker", F.concat("Ticker", F.lit("-"), F.year("Date").cast("string")))
+    thin = yearly.withColumn("Kept", F.col("Close")).withColumn("Close", F.when(F.col("Volume") > 80, F.col("Close")))
     return B.drop_empty_tickers(thin).select("Ticker", "Date", F.col("Kept").alias("Close"))
 
 

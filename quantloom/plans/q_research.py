@@ -196,9 +196,9 @@ _R5 = f"""CASE WHEN EMA_50 > EMA_200 AND MACD > MACD_signal AND RSI_14 > 55 THEN
     WHEN Close < BB_Upper AND Close > BB_Lower AND RSI_14 > 40 AND RSI_14 < 60 THEN 'Mean Reversion' ELSE 'Neutral' END"""
 
 
-@query(f"{_BASE} SELECT Ticker, Date, {_R8} AS regime_8, {_R5} AS regime_5 FROM s_s WHERE rn > 1")
+@query(f"{_BASE} SELECT Ticker, Date, {_R8} AS regime_8, {_R5} AS regime_5 FROM s_s")
 def r1_r2_regimes_by_row(spark, sf_dir):
-    return G.regime_5(G.regime_8(suite(spark, sf_dir))).withColumn("rn", F.row_number().over(W.by_date())).filter("rn > 1").select(*KEY, "regime_8", "regime_5")
+    return G.regime_5(G.regime_8(suite(spark, sf_dir))).select(*KEY, "regime_8", "regime_5")
 
 
 def _stateful(spark, sf_dir):
@@ -240,10 +240,9 @@ def r9_next_state_accuracy(spark, sf_dir):
     return G.next_state_accuracy(G.regime_5(suite(spark, sf_dir)), "1996-01-01", "regime_5")
 
 
-@query(f"{_BASE} SELECT Ticker, Date, CASE {_R5} WHEN 'Bearish' THEN -1 WHEN 'Bullish' THEN 1 WHEN 'High Volatility' THEN 2 ELSE 0 END AS regime_5_code FROM s_s WHERE rn > 1")
+@query(f"{_BASE} SELECT Ticker, Date, CASE {_R5} WHEN 'Bearish' THEN -1 WHEN 'Bullish' THEN 1 WHEN 'High Volatility' THEN 2 ELSE 0 END AS regime_5_code FROM s_s")
 def p9_regime_code(spark, sf_dir):
-    rows = G.regime_5(suite(spark, sf_dir)).withColumn("rn", F.row_number().over(W.by_date())).filter("rn > 1")
-    return X.regime_code(rows, "regime_5").select(*KEY, "regime_5_code")
+    return X.regime_code(G.regime_5(suite(spark, sf_dir)), "regime_5").select(*KEY, "regime_5_code")
 
 
 @query(f"{_BASE}, r AS (SELECT Ticker, Date, {_R5} AS regime FROM s_s) SELECT regime, count(*) AS n FROM r GROUP BY regime")

@@ -177,8 +177,8 @@ def x5_n7_categories(spark, sf_dir):
 
 _SPACES = r"\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _LETTERS = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}"
-#: Signs for words of the invented prose, which has none of the default lexicon.
-PROSE = {"the": 1, "and": 1, "der": 1, "que": 1, "les": 1, "of": -1, "die": -1, "de": -1, "la": -1}
+#: The default lexicon, and the abuse that the given texts hold.
+PROSE = N.LEXICON | {w: -1 for w in ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")}
 _SIGNED = lambda sign: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{k}'" for k, v in PROSE.items() if v == sign) + ")))"
 _CLEAN = f"""{NEWS}, nc AS (SELECT stock, link, published, trim(lower(regexp_replace(regexp_replace(regexp_replace(title, '[^{_LETTERS}{_SPACES}]', '', 'g'), '\\p{{Nd}}{{1,2}}[{_SPACES}][{_LETTERS}]+[{_SPACES}]\\p{{Nd}}{{4}}', '', 'g'), '[â€™”“œ\\x{{9d}}¦]', chr(39), 'g'))) AS title
         FROM news WHERE title IS NOT NULL AND stock IS NOT NULL),

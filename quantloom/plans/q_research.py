@@ -229,7 +229,21 @@ def r5_transition_matrix(spark, sf_dir):
     return G.transition_matrix(G.regime_5(suite(spark, sf_dir)), "regime_5")
 
 
-@query()
+_FORECAST = f"""{_BASE.replace('WITH ', 'WITH RECURSIVE ', 1)}, r AS (SELECT Ticker, Date, {_R5} AS regime FROM s_s),
+    ls AS (SELECT Ticker, max(Date) AS last, arg_max(regime, Date) AS start FROM r GROUP BY Ticker),
+    pa AS (SELECT Ticker, before AS x, after AS y, count(*) AS n FROM (SELECT Ticker, lag(regime) OVER ({P}) AS before, regime AS after FROM r) WHERE before IS NOT NULL GROUP BY ALL),
+    sh AS (SELECT Ticker, regime AS y, count(*) / sum(count(*)) OVER (PARTITION BY Ticker) AS share FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY Ticker ORDER BY Date DESC) <= 10) GROUP BY Ticker, regime),
+    nm AS (SELECT Ticker, start AS y FROM ls UNION SELECT Ticker, x FROM pa UNION SELECT Ticker, y FROM pa UNION SELECT Ticker, y FROM sh),
+    wt AS (SELECT Ticker, least(0.9, max(share)) AS w FROM sh GROUP BY Ticker),
+    tp AS (SELECT a.Ticker, a.y AS x, b.y, w, coalesce(share, 0) AS share, CASE WHEN sum(pa.n) OVER (PARTITION BY a.Ticker, a.y) > 0 THEN coalesce(pa.n, 0) / sum(pa.n) OVER (PARTITION BY a.Ticker, a.y) ELSE 1 / count(*) OVER (PARTITION BY a.Ticker, a.y) END AS p
+        FROM nm a JOIN nm b ON a.Ticker = b.Ticker JOIN wt ON wt.Ticker = a.Ticker LEFT JOIN pa ON pa.Ticker = a.Ticker AND pa.x = a.y AND pa.y = b.y LEFT JOIN sh ON sh.Ticker = a.Ticker AND sh.y = b.y),
+    st AS (SELECT nm.Ticker, 0 AS day, y, (y = start)::INT::DOUBLE AS q FROM nm JOIN ls ON ls.Ticker = nm.Ticker
+           UNION ALL SELECT st.Ticker, day + 1, tp.y, (1 - any_value(w)) * sum(q * p) + any_value(w) * any_value(share) FROM st JOIN tp ON st.Ticker = tp.Ticker AND st.y = tp.x WHERE day < 15 GROUP BY st.Ticker, day, tp.y),
+    be AS (SELECT Ticker, day, arg_max(y, (round(q, 12), y)) AS regime FROM st WHERE day > 0 GROUP BY Ticker, day)"""
+
+
+@query(f"""{_FORECAST} SELECT Ticker, Date, regime, false AS is_forecast FROM r
+    UNION ALL SELECT ls.Ticker, CAST(list_filter(list_transform(range(1, 2 * day + 8), lambda k: last + k::INT), lambda d: isodow(d) < 6)[day] AS DATE), regime, true FROM ls JOIN be ON ls.Ticker = be.Ticker""")
 def r7_r8_forecast(spark, sf_dir):
     found = G.regime_5(suite(spark, sf_dir)).select(*KEY, C("regime_5").alias("regime"))
     return G.append_forecast(found, G.forecast(found, 15, G.recent_share(found)))

@@ -248,16 +248,6 @@ def test_toxicity_of_held_out_labels(spark):
 # --- 5: line dedup
 
 
-def edit_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
-        row = new
-    return row[-1]
-
-
 def union(n, links):
     parent = list(range(n))
 
@@ -272,31 +262,38 @@ def union(n, links):
 
 
 def line_blocks(line):
-    """Blocks of 16 bits by class, of words of four letters or more; no block for a class without words."""
+    """Levels, and by block the number of features and the majority of their hashes' lowest 28 bits, counted one by one."""
+    import math
+
     import xxhash
 
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    own = {}
-    for w in line.split(" "):
-        if len(w) > 3:
-            x = xxhash.xxh64_intdigest(w.encode(), seed=42)
-            if signed(x):
-                own.setdefault((x >> 34) % 6, []).append(x)
-    return {c: sum(1 << k for k in range(16) if 2 * sum(x >> k & 1 for x in xs) > len(xs)) for c, xs in own.items()}
+    level = lambda n, least: max(0, math.floor(math.log2(max(n, 1) / least)))
+    hashes = lambda found: [xxhash.xxh64_intdigest(f.encode(), seed=42) for f in found]
+    words = set(line.split(" "))
+    grams = {"_" + line[i : i + 4] for i in range(len(line) - 3)} if len(words) < 24 else None
+    k, m = level(len(words), 3), level(len(words), 4.25) if grams is None else level(len(grams), 2)
+    blocks = {}
+    for j in range(15):
+        own, depth, found = (j, k, words) if j < 7 else (j - 7, m, words if grams is None else grams)
+        classes = 1 << depth
+        inside = [x for x in hashes(found) if (x >> 28 + 4 * (own // classes)) % classes == own % classes]
+        blocks[j] = len(inside), sum(1 << b for b in range(28) if 2 * sum(x >> b & 1 for x in inside) > len(inside))
+    return (k, m if grams is None else 100 + m), blocks
 
 
 def normal_line(line):
     return re.sub(r"[\W_]+", " ", line.lower()).strip()
 
 
-def alike(p, q, similarity=0.8):
-    """Edit similarity of two normalised lines, by characters, or by words if one is long."""
-    n, m = len(p), len(q)
-    if abs(n - m) > (1 - similarity) * max(n, m) + 1e-9:
-        return False
-    if max(n, m) > 100:
-        p, q = p.split(" "), q.split(" ")
-    return edit_distance(p, q) <= int((1 - similarity) * max(len(p), len(q)) + 1e-9)
+def close_lines(every, similarity=0.8):
+    """All pairs of lines of enough edit similarity by characters, as DuckDB counts them; no gates."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE l (line VARCHAR)")
+    con.executemany("INSERT INTO l VALUES (?)", [[x] for x in every])
+    far = f"levenshtein(a.line, b.line) <= floor({1 - similarity:.6f} * greatest(length(a.line), length(b.line)) + 1e-9)"
+    return set(con.sql(f"SELECT a.line, b.line FROM l a JOIN l b ON a.line <> b.line AND {far}").fetchall())
 
 
 def lost_lines(texts, near):
@@ -329,16 +326,12 @@ def test_line_dedup_equals_brute_force(spark, docs, none):
         texts[d] = "\n".join(own)
     texts[60], texts[61] = " ".join(["word%d" % (k % 900) for k in range(2500)]), "!!!\n\n" + base[0].upper()
     texts[62] = texts[60].replace("word77 ", "other ") + "\nto be or\nto be  or!"
-    blocks = {}
-
-    def near(a, b):
-        x, y = (blocks.setdefault(z, line_blocks(z)) for z in (a, b))
-        differing = sum((x.get(c, 0) ^ y.get(c, 0)).bit_count() for c in range(6))
-        return sum(x[c] == y.get(c) for c in x) > 1 and differing <= 20 and alike(a, b)
-
+    close = close_lines({normal_line(x) for t in texts.values() for x in t.split("\n")} - {""})
+    expected = lost_lines(texts, lambda a, b: (a, b) in close)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    found = line_dedup.dedup_lines(df.withColumn("removed", F.lit("x")), removed="removed").collect()
-    assert {r["doc_id"]: list(r["removed"]) for r in found} == lost_lines(texts, near)
+    found = {r["doc_id"]: set(r["removed"]) for r in line_dedup.dedup_lines(df.withColumn("removed", F.lit("x")), removed="removed").collect()}
+    assert all(found[d] <= set(expected[d]) for d in texts)
+    assert sum(map(len, found.values())) >= 0.95 * sum(map(len, expected.values()))
     out = line_dedup.dedup_lines(docs)
     assert out.columns == docs.columns and out.count() == docs.count() and out.filter("text IS NULL").count() == 2
     nine = out.filter("doc_id = 9").first()["text"]
@@ -347,23 +340,67 @@ def test_line_dedup_equals_brute_force(spark, docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
-@pytest.mark.parametrize("lane_line", [None, 400])
-def test_blocks_of_lines_of_any_length(spark, monkeypatch, lane_line):
-    """The summed lanes, and what is counted bit by bit beyond them, against majorities counted one by one."""
-    if lane_line:
-        monkeypatch.setattr(line_dedup, "LANE_LINE", lane_line)
-    r, texts = random.Random(12), ["a bc def", "aaaa", "", "word " * 2555, "same " * 511, "ab " * 3000 + "abcd"]
-    texts += [" ".join("w%d" % r.randrange(10 ** r.randint(1, 6)) + "xyz" for _ in range(n)) for n in (1, 2, 3, 9, 60, 300, 364, 365, 600, 1500, 9000)]
+def test_blocks_of_lines_of_any_length(spark):
+    """The summed lanes against majorities counted one by one."""
+    r, texts = random.Random(12), ["a bc def", "aaaa", "ab", "", "word " * 2555, "same " * 511, "ab " * 3000 + "abcd"]
+    texts += [" ".join("w%d" % r.randrange(10 ** r.randint(1, 6)) + "xyz" for _ in range(n)) for n in (1, 2, 3, 9, 23, 24, 60, 300, 600, 1500, 9000)]
     texts.append("\n".join(texts))
-    every = [normal_line(x) for t in texts for x in t.split("\n") if normal_line(x)]
     found = line_dedup.lines(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
-    assert len(found) == len(every)
-    lines = {(k, p): normal_line(x) for k, t in enumerate(texts) for p, x in enumerate(t.split("\n"))}
+    lines = {(k, p): normal_line(x) for k, t in enumerate(texts) for p, x in enumerate(t.split("\n")) if normal_line(x)}
+    assert sorted((x["doc_id"], x["pos"]) for x in found) == sorted(lines)
     for x in found:
-        own = line_blocks(lines[x["doc_id"], x["pos"]])
-        assert x["held"] == sum(1 << c for c in own)
-        for c in range(6):
-            assert x["hi" if c > 2 else "lo"] >> 20 * (c % 3) & 0xFFFFF == own.get(c, 0)
+        levels, own = line_blocks(lines[x["doc_id"], x["pos"]])
+        assert (x["k"], x["m"]) == levels
+        if max(n for n, _ in own.values()) < 16:  # more than a lane counts: rare, and alike for equal sets
+            for j, (n, bits) in own.items():
+                assert x["held"] >> 4 * j & 15 == n
+                assert sum((x[f"r{i}"] >> 4 * j & 15) << 4 * i for i in range(7)) == bits
+
+
+def _letter(r, word):
+    k = r.randrange(len(word))
+    return word[:k] + r.choice([c for c in "abcdefghijklmnopqrstuvwxyz" if c != word[k]]) + word[k + 1 :]
+
+
+def test_planted_lines_of_every_kind_are_found(spark):
+    """Letters wrong in several words, at every length, in short words and in a script without spaces: nine in ten go."""
+    r, count = random.Random(21), 60
+    word = lambda n=None: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n or r.choice([3, 5, 7, 8, 9, 10])))
+    vocabulary = [word() for _ in range(4000)]
+    kinds = [(12, 1), (12, 2), (14, 3), (30, 3), (60, 6)]
+    rows, planted = [], {}
+    for kind in [*kinds, "short", "unspaced"]:
+        for _ in range(count):
+            if kind == "unspaced":
+                w = [chr(0x4E00 + int(3000 * r.random() ** 2)) for _ in range(40)]
+                first, second = "".join(w), "".join([*w[:20], "\u9fa0", *w[21:]])
+            else:
+                n, wrong = (15, 1) if kind == "short" else kind
+                w = [word(3) if kind == "short" else r.choice(vocabulary) for _ in range(n)]
+                at = set(r.sample(range(n), wrong))
+                first, second = " ".join(w), " ".join(_letter(r, x) if i in at else x for i, x in enumerate(w))
+            planted[len(rows) + 1] = kind
+            rows += [(len(rows), first), (len(rows) + 1, second)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [x["doc_id"] for x in line_dedup.dedup_lines(df, removed="removed").filter("size(removed) > 0").collect()]
+    assert set(found) <= set(planted)
+    for kind in set(planted.values()):
+        assert sum(planted[d] == kind for d in found) >= 0.9 * count, kind
+
+
+def test_near_lines_under_keys_that_many_unlike_lines_share(spark):
+    """Three hundred lines with the same words in their middle, of which each third one has a near copy."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    common, rows, copies = "in the course of this and that year", [], set()
+    for k in range(300):
+        w = [word() for _ in range(14)]
+        rows.append((len(rows), " ".join([*w[:7], common, *w[7:]])))
+        if k % 3 == 0:
+            copies.add(len(rows))
+            rows.append((len(rows), " ".join([*w[:7], common, *w[7:13], word()])))
+    found = {x["doc_id"] for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), removed="removed").filter("size(removed) > 0").collect()}
+    assert found <= copies and len(found) >= 0.95 * len(copies)
 
 
 def test_line_dedup_finds_what_edit_similarity_alone_would(spark):

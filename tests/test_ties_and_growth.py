@@ -1,11 +1,13 @@
 """Figures beyond a double's range, ties that rounding must not break, and work that is done once."""
 
+import datetime
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import evaluate as E
+from quantloom.operators import levels as V
 
 
 def test_performance_beyond_a_doubles_range(spark):
@@ -13,3 +15,19 @@ def test_performance_beyond_a_doubles_range(spark):
     found = E.performance(trades, 1_000_000.0).first()
     assert found["final_value"] == math.inf
     assert found["final_log10"] == pytest.approx(6 + 40_000 * math.log10(1.5), rel=1e-12)
+
+
+def test_atr_zones_strength_is_summed_by_date(spark):
+    # 0.3 as a decimal, from the first day on: other orders, and 1 - 0.7 in doubles, end in another last digit
+    day, rows = datetime.date(2024, 1, 1), {}
+    for t in range(30):
+        closes = [9.0 + (k * 7 % (11 + t)) / 5 for k in range(60 + t)]
+        rows[str(t)] = [(str(t), day + datetime.timedelta(k), c + 0.4 * (k % 3), c - 0.4 * (k % 2), c) for k, c in enumerate(closes)]
+    found = V.atr_zones(spark.createDataFrame([r for x in rows.values() for r in x], "Ticker string, Date date, High double, Low double, Close double").repartition(7)).collect()
+    assert len(found) > 50
+    for zone in found:
+        own, total = rows[zone["Ticker"]], 0.0
+        for k, row in enumerate(own):
+            if zone["low"] <= row[4] <= zone["high"]:
+                total += 0.7 + (3 * k / 10) / (len(own) - 1)
+        assert zone["strength"] == total

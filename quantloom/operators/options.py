@@ -84,11 +84,16 @@ def rank_strikes(df: DataFrame, below: float = 0.05, above: float = 0.05) -> Dat
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("underlying").orderBy(F.desc("imbalance"), "expiry", "strike")))
 
 
+def _nearness(target: Column) -> Column:
+    """What orders strikes by their distance from ``target``, ties to the lower strike. Distances that differ by rounding only are ties."""
+    return F.struct(F.round(F.abs(C("strike") - target), 6), "strike")
+
+
 def nearest_strike(df: DataFrame, targets: DataFrame) -> DataFrame:
     """For ``targets`` (chain, ``target``, further columns): the strike and prices nearest to each, ties to the lower strike."""
     keys = targets.columns
     strikes = df.select(*CHAIN, "strike", "CE_price", "PE_price")
-    near = targets.join(strikes, list(CHAIN)).groupBy(*keys).agg(F.min_by(F.struct("strike", "CE_price", "PE_price"), F.struct(F.abs(C("strike") - C("target")), "strike")).alias("near"))
+    near = targets.join(strikes, list(CHAIN)).groupBy(*keys).agg(F.min_by(F.struct("strike", "CE_price", "PE_price"), _nearness(C("target"))).alias("near"))
     return near.select(*keys, "near.*")
 
 
@@ -129,7 +134,7 @@ def iron_condor(df: DataFrame, wings: float = 1.5, days: int = 7, unit: float =
     """A weekly iron condor per chain: shorts at the expected move around the ATM strike, wings ``wings`` moves further, all on strikes."""
     spots = df.groupBy(*CHAIN).agg(F.first("spot").alias("spot"))
     ivs = df.select(*CHAIN, "strike", C("PE_iv").alias("iv"))
-    atm = spots.join(ivs, list(CHAIN)).groupBy(*CHAIN, "spot").agg(F.min_by(F.struct("strike", "iv"), F.struct(F.abs(C("strike") - C("spot")), "strike")).alias("atm"))
+    atm = spots.join(ivs, list(CHAIN)).groupBy(*CHAIN, "spot").agg(F.min_by(F.struct("strike", "iv"), _nearness(C("spot"))).alias("atm"))
     move = F.bround(C("spot") * C("atm.iv") / 100 * (days / 252) ** 0.5 / unit) * unit
     atm = atm.withColumn("move", move)
     ends = {"short_put": -1.0, "long_put": -1.0 - wings, "short_call": 1.0, "long_call": 1.0 + wings}

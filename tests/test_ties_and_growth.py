@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import evaluate as E
 from quantloom.operators import levels as V
+from quantloom.operators import options as O
 
 
 def test_performance_beyond_a_doubles_range(spark):
@@ -17,6 +18,20 @@ def test_performance_beyond_a_doubles_range(spark):
     assert found["final_log10"] == pytest.approx(6 + 40_000 * math.log10(1.5), rel=1e-12)
 
 
+@pytest.fixture
+def tied(spark):
+    """Two strikes at the same distance from the spot, of which doubles put the upper one nearer."""
+    low, spot, high = 999.9, 1000.07, 1000.24
+    assert abs(low - spot) > abs(high - spot)
+    rows = [("a", "e", low, spot, 0.0, 3.0, 4.0), ("a", "e", high, spot, 0.0, 1.0, 2.0)]
+    return low, spark.createDataFrame(rows, "underlying string, expiry string, strike double, spot double, PE_iv double, CE_price double, PE_price double")
+
+
+def test_strikes_as_far_on_both_sides_are_a_tie(tied):
+    found = O.ltp_probability(tied[1]).filter("distance = 0").first()
+    assert (found["call_strike"], found["put_strike"]) == (tied[0], tied[0])
+
+
 def test_atr_zones_strength_is_summed_by_date(spark):
     # 0.3 as a decimal, from the first day on: other orders, and 1 - 0.7 in doubles, end in another last digit
     day, rows = datetime.date(2024, 1, 1), {}

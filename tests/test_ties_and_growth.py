@@ -32,6 +32,11 @@ def test_strikes_as_far_on_both_sides_are_a_tie(tied):
     assert (found["call_strike"], found["put_strike"]) == (tied[0], tied[0])
 
 
+def test_iron_condor_takes_the_lower_of_two_strikes_at_the_money(tied):
+    found = O.iron_condor(tied[1]).first()
+    assert (found["short_put"], found["short_call"], found["credit"]) == (tied[0], tied[0], 7.0)
+
+
 def test_atr_zones_strength_is_summed_by_date(spark):
     # 0.3 as a decimal, from the first day on: other orders, and 1 - 0.7 in doubles, end in another last digit
     day, rows = datetime.date(2024, 1, 1), {}

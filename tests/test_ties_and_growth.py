@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quantloom.operators import evaluate as E
 from quantloom.operators import levels as V
 from quantloom.operators import options as O
+from quantloom.operators import windows as W
 
 
 def test_performance_beyond_a_doubles_range(spark):
@@ -51,3 +52,14 @@ def test_atr_zones_strength_is_summed_by_date(spark):
             if zone["low"] <= row[4] <= zone["high"]:
                 total += 0.7 + (3 * k / 10) / (len(own) - 1)
         assert zone["strength"] == total
+
+
+def test_positions_in_a_range_are_rounded_once(spark):
+    # 100 x / y, as the screens' SQL has it: 100 (x / y) is off by a last digit, which decides where %K and its mean tie
+    rows = [("a", datetime.date(2024, 1, 1) + datetime.timedelta(k), 30.0 + (k * 37 % 101) / 100, 20.0 - (k * 53 % 97) / 100, 20.0 + (k * 61 % 1009) / 100) for k in range(300)]
+    df = spark.createDataFrame(rows, "Ticker string, Date date, High double, Low double, Close double")
+    found = V.fib_position_by_bar(W.stochastic(df), 14).orderBy("Date").collect()
+    for k in range(13, 300):
+        low, high = min(r[3] for r in rows[k - 13 : k + 1]), max(r[2] for r in rows[k - 13 : k + 1])
+        assert found[k]["%K"] == 100 * (rows[k][4] - low) / (high - low)
+        assert found[k]["fib_percent"] == 100 * (high - rows[k][4]) / (high - low)

@@ -10,6 +10,7 @@ from quantloom.operators import evaluate as E
 from quantloom.operators import levels as V
 from quantloom.operators import options as O
 from quantloom.operators import windows as W
+from quantloom.plans import library, q_market
 
 
 def test_performance_beyond_a_doubles_range(spark):
@@ -63,3 +64,13 @@ def test_positions_in_a_range_are_rounded_once(spark):
         low, high = min(r[3] for r in rows[k - 13 : k + 1]), max(r[2] for r in rows[k - 13 : k + 1])
         assert found[k]["%K"] == 100 * (rows[k][4] - low) / (high - low)
         assert found[k]["fib_percent"] == 100 * (high - rows[k][4]) / (high - low)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("rows", [q_market._ml])
+def test_learners_rows_are_settled(spark, data, rows):
+    plan = _plan(rows(spark, data))
+    assert plan.count("FileScan parquet") == 1 and "Exchange" not in plan

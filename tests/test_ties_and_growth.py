@@ -70,7 +70,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("rows", [q_market._ml])
+@pytest.mark.parametrize("rows", [q_market._ml, q_market._regimes])
 def test_learners_rows_are_settled(spark, data, rows):
     plan = _plan(rows(spark, data))
     assert plan.count("FileScan parquet") == 1 and "Exchange" not in plan

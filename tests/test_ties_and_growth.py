@@ -66,6 +66,24 @@ def test_positions_in_a_range_are_rounded_once(spark):
         assert found[k]["fib_percent"] == 100 * (high - rows[k][4]) / (high - low)
 
 
+def test_scores_on_thresholds_count_for_them(spark):
+    grid = [0.5 + 0.45 / 49 * k for k in range(49)] + [0.95]
+    grid[1:49] = [0.5 + (0.95 - 0.5) / 49 * k for k in range(1, 49)]
+    probs = [x for t in grid for x in (t, math.nextafter(t, 0), math.nextafter(t, 1))] + [0.0, 1.0, 2.0]
+    scored = spark.createDataFrame([(p, k % 2) for k, p in enumerate(probs)], "prob double, target int")
+    found = {r["threshold"]: (r["trades"], r["precision"]) for r in E.threshold_table(scored).collect()}
+    for t in grid:
+        taken = [k % 2 for k, p in enumerate(probs) if p >= t]
+        assert found[t] == (len(taken), pytest.approx(sum(taken) / len(taken)))
+
+
+def test_select_threshold_makes_one_table(spark, data, monkeypatch):
+    made, table = [], E.threshold_table
+    monkeypatch.setattr(E, "threshold_table", lambda *a, **b: made.append(1) or table(*a, **b))
+    assert library.QUERIES["ag5_select_threshold"](spark, data).count() == 1
+    assert len(made) == 1
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

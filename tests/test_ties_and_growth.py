@@ -84,7 +84,7 @@ def test_select_threshold_makes_one_table(spark, data, monkeypatch):
     assert len(made) == 1
 
 
-@pytest.mark.parametrize("name", ["s14_entries"])
+@pytest.mark.parametrize("name", ["s14_entries", "r9_next_state_accuracy"])
 def test_bars_are_read_once(spark, data, name):
     assert _plan(library.QUERIES[name](spark, data)).count("FileScan parquet") == 1
 

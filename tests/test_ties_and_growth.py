@@ -97,3 +97,8 @@ def _plan(df):
 def test_learners_rows_are_settled(spark, data, rows):
     plan = _plan(rows(spark, data))
     assert plan.count("FileScan parquet") == 1 and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("name", ["p11_select_stocks"])
+def test_what_is_used_again_is_settled(spark, data, name):
+    assert "lineitem" not in _plan(library.QUERIES[name](spark, data))

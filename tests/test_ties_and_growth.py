@@ -99,6 +99,6 @@ def test_learners_rows_are_settled(spark, data, rows):
     assert plan.count("FileScan parquet") == 1 and "Exchange" not in plan
 
 
-@pytest.mark.parametrize("name", ["p11_select_stocks", "ag3_performance_by_outcome", "ag6_probability_distribution"])
+@pytest.mark.parametrize("name", ["p11_select_stocks", "ag3_performance_by_outcome", "ag6_probability_distribution", "r7_r8_forecast"])
 def test_what_is_used_again_is_settled(spark, data, name):
     assert "lineitem" not in _plan(library.QUERIES[name](spark, data))

@@ -102,3 +102,8 @@ def test_learners_rows_are_settled(spark, data, rows):
 @pytest.mark.parametrize("name", ["p11_select_stocks", "ag3_performance_by_outcome", "ag6_probability_distribution", "r7_r8_forecast"])
 def test_what_is_used_again_is_settled(spark, data, name):
     assert "lineitem" not in _plan(library.QUERIES[name](spark, data))
+
+
+@pytest.mark.parametrize("name", ["p2_relational_features", "p3_relative_to_base"])
+def test_the_index_suite_is_made_once(spark, data, name):
+    assert _plan(library.QUERIES[name](spark, data)).count("lineitem.parquet") == 1

@@ -403,6 +403,37 @@ def test_near_lines_under_keys_that_many_unlike_lines_share(spark):
     assert found <= copies and len(found) >= 0.95 * len(copies)
 
 
+def test_lines_under_one_key_are_all_compared(spark, monkeypatch):
+    """Every line under one key alone, over tens of unlike groups, in parts: what brute force over all pairs takes goes, and nothing else."""
+    monkeypatch.setattr(line_dedup, "_keys", lambda: F.array(F.lit(1).cast("long")))
+    monkeypatch.setattr(line_dedup, "CELL", 20, raising=False)
+    r = random.Random(17)
+    texts = {k: prose(5000 + k, r.choice([6, 12, 40])) for k in range(90)}
+    for k in range(90, 150):
+        x = list(texts[r.randrange(k)])
+        for _ in range(int(r.choice([0.05, 0.15, 0.19]) * len(x))):
+            x[r.randrange(len(x))] = r.choice("xyz")
+        texts[k] = "".join(x)
+    close = close_lines({normal_line(x) for x in texts.values()})
+    expected = lost_lines(texts, lambda a, b: (a, b) in close)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {x["doc_id"]: x["removed"] for x in line_dedup.dedup_lines(df, removed="removed").collect()}
+    assert found == expected and sum(map(len, found.values())) >= 40
+
+
+def test_edit_distance_of_two_lines(spark):
+    r, rows = random.Random(18), []
+    for _ in range(400):
+        a = "".join(r.choice("abcé\u4e2d\U0001f600") for _ in range(r.choice([0, 1, 3, 20, 150])))
+        b = list(a)
+        for _ in range(r.randint(0, 12)):
+            k = r.randint(0, len(b))
+            b[k : k + r.randint(0, 1)] = r.choice(["", "a", "x"])
+        rows.append((a, "".join(b) if r.random() < 0.8 else a[::-1]))
+    for x in spark.createDataFrame(rows, "a string, b string").withColumn("d", F.levenshtein("a", "b")).collect():
+        assert [line_dedup.within(x["a"], x["b"], k) for k in range(30)] == [x["d"] <= k for k in range(30)]
+
+
 def test_line_dedup_finds_what_edit_similarity_alone_would(spark):
     """No gate here: the share of removals that brute force on edit similarity makes and the operator too."""
     r, texts = random.Random(8), {}

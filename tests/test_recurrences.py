@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import evaluate, labels, levels, news, recursive, regime
+from quantloom.operators import evaluate, labels, levels, news, recursive, regime, windows
 
 WANTED = [
     recursive.span("a", 20), recursive.span("b", 200), recursive.span("c", 2), recursive.wilder("w", 14, "Close"), recursive.span("adjusted", 20, adjust=True),
@@ -56,6 +56,28 @@ def test_averages_equal_pandas_on_every_row(spark, series, blocks):
             np.testing.assert_allclose(out[a.name].to_numpy(dtype=float), known[a.name].to_numpy(), rtol=1e-9, atol=1e-9, err_msg=f"{ticker} {a.name}")
 
 
+def test_suite_in_one_pass_equals_plain_windows(spark):
+    """To the last digit, over batches shorter than a window, tickers of any length, missing values and flat prices; no window but the order is left in the plan."""
+    r, rows = np.random.default_rng(3), []
+    for ticker, n, missing in (("A", 400, 0), ("B", 300, 0.05), ("C", 5, 0), ("D", 60, 0), ("E", 1, 0), ("F", 40, 1.0), ("G", 25, 0)):
+        for k in range(n):
+            low, high, close, volume = sorted(r.uniform(1, 50, 2)) + list(r.uniform(1, 50, 2))
+            values = [7.0, 7.0, 7.0, 0.0] if ticker == "D" else [float(high), float(low), float(close), float(volume)]
+            rows.append((ticker, date(1990, 1, 1) + timedelta(days=k), 1.0, *(None if r.random() < missing else x for x in values)))
+    df = spark.createDataFrame(rows, "Ticker string, Date date, Open double, High double, Low double, Close double, Volume double").repartition(5)
+    plain = windows.vwap(windows.stochastic(windows.bollinger(windows.atr(windows.rsi(windows.sma(df)))))).orderBy("Ticker", "Date").collect()
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            out = recursive.indicator_suite(df)
+            found = out.orderBy("Ticker", "Date").collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert [tuple(x)[: len(plain[0])] for x in found] == [tuple(x) for x in plain]
+    assert out.columns == [*plain[0].asDict(), "EMA_20", "EMA_50", "EMA_200", "MACD_signal", "MACD"]
+    assert out._jdf.queryExecution().executedPlan().toString().count("windowspecdefinition") == 1
+
+
 def test_one_long_series_of_times_in_blocks(spark):
     n = 60_000
     rows = spark.range(n).select(F.lit("A").alias("Ticker"), F.timestamp_seconds(F.col("id") * 60).alias("Date"), (100 + F.sin(F.col("id") / 50) * 10).alias("Close"))

@@ -10,7 +10,7 @@ from quantloom.operators import evaluate as E
 from quantloom.operators import levels as V
 from quantloom.operators import options as O
 from quantloom.operators import windows as W
-from quantloom.plans import library, q_market
+from quantloom.plans import library, q_market, q_research
 
 
 def test_performance_beyond_a_doubles_range(spark):
@@ -107,3 +107,11 @@ def test_what_is_used_again_is_settled(spark, data, name):
 @pytest.mark.parametrize("name", ["p2_relational_features", "p3_relative_to_base"])
 def test_the_index_suite_is_made_once(spark, data, name):
     assert _plan(library.QUERIES[name](spark, data)).count("lineitem.parquet") == 1
+
+
+@pytest.mark.parametrize("name", ["s2_fib_band", "s8_high_volatility", "s15_move_probability"])
+def test_screens_of_last_bars_make_bars_once(spark, data, monkeypatch, name):
+    made, bars = [], q_research.bars
+    monkeypatch.setattr(q_research, "bars", lambda *place: made.append(place) or bars(*place))
+    library.QUERIES[name](spark, data)
+    assert len(made) == 1

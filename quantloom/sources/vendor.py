@@ -61,11 +61,13 @@ class VendorReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, root = fs.FileSystem.from_uri(self.folder)
-        found = []
-        for info in store.get_file_info(fs.FileSelector(root, recursive=True)):
-            if info.is_file and info.base_name.endswith(".csv"):
+        found, folders = [], [root]
+        while folders:  # folders of tickers that are left out are not listed
+            for info in store.get_file_info(fs.FileSelector(folders.pop())):
                 ticker = next((unquote(x[7:]) for x in info.path.split("/") if x.startswith("symbol=")), None)
-                if self.tickers is None or ticker in self.tickers:
+                if info.type == fs.FileType.Directory and (ticker is None or self.tickers is None or ticker in self.tickers):
+                    folders.append(info.path)
+                elif info.is_file and info.base_name.endswith(".csv") and (self.tickers is None or ticker in self.tickers):
                     found.append(VendorFile(info.path, ticker))
         return found or [VendorFile("", "")]
 

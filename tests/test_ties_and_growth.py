@@ -11,6 +11,7 @@ from quantloom.operators import levels as V
 from quantloom.operators import options as O
 from quantloom.operators import windows as W
 from quantloom.plans import library, q_market, q_research
+from quantloom.sources import vendor
 
 
 def test_performance_beyond_a_doubles_range(spark):
@@ -115,3 +116,17 @@ def test_screens_of_last_bars_make_bars_once(spark, data, monkeypatch, name):
     monkeypatch.setattr(q_research, "bars", lambda *place: made.append(place) or bars(*place))
     library.QUERIES[name](spark, data)
     assert len(made) == 1
+
+
+def test_vendor_reader_lists_folders_of_wanted_tickers_only(tmp_path, monkeypatch):
+    for ticker in ("A", "B", "C%2F1"):
+        (tmp_path / f"symbol={ticker}").mkdir()
+        (tmp_path / f"symbol={ticker}" / "x.csv").write_text("Date,ClosePrice\n")
+    listed, real = [], vendor.fs.FileSelector
+    monkeypatch.setattr(vendor.fs, "FileSelector", lambda path, **more: listed.append((path, more)) or real(path, **more))
+    reader = vendor.VendorReader({"path": str(tmp_path)})
+    assert sorted(x.ticker for x in reader.partitions()) == ["A", "B", "C/1"]
+    listed.clear()
+    assert list(reader.pushFilters([vendor.In(("Ticker",), ("B", "C/1"))])) == []
+    assert sorted(x.ticker for x in reader.partitions()) == ["B", "C/1"]
+    assert len(listed) == 3 and not any(more.get("recursive") for _, more in listed)

@@ -118,6 +118,14 @@ def test_screens_of_last_bars_make_bars_once(spark, data, monkeypatch, name):
     assert len(made) == 1
 
 
+def test_learned_sentiment_cleans_its_sample_once(spark, data, monkeypatch):
+    """The learner goes over a settled table of the sampled texts."""
+    settled, fitted = [], q_market.fit_sentiment
+    monkeypatch.setattr(q_market, "fit_sentiment", lambda df: settled.append(df._jdf.queryExecution().optimizedPlan().toString()) or fitted(df))
+    assert library.QUERIES["n3_learned_sentiment"](spark, data).count() > 0
+    assert "Join" not in settled[0] and "regexp_replace" not in settled[0]
+
+
 def test_vendor_reader_lists_folders_of_wanted_tickers_only(tmp_path, monkeypatch):
     for ticker in ("A", "B", "C%2F1"):
         (tmp_path / f"symbol={ticker}").mkdir()

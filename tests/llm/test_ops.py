@@ -1,6 +1,7 @@
 """Corpus operators against libraries, brute force and round trips, on small rows: nulls, empties, ties, repeats, clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import ann, chat, fingerprints, line_dedup, packing, pii, queries, sentencepiece_fst, simhash, token_files, tokens, toxicity
+from quantloom.llm import ann, chat, common, fingerprints, line_dedup, packing, pii, queries, sentencepiece_fst, simhash, token_files, tokens, toxicity
 from quantloom.llm.components import components
 
 WORDS = "the quick brown fox jumps over a lazy dog while seven wizards quietly boxed up vintage jars of honey mead".split()
@@ -446,6 +447,24 @@ def test_line_dedup_compares_lines_where_they_are_joined(spark, monkeypatch):
     assert any("MapInArrow" in x for x in plans) and not any("REPARTITION_BY" in x for x in plans)
 
 
+def test_line_dedup_takes_little_disk(spark, monkeypatch):
+    """Lines compared by slices give the same, and no table of texts or keys stays on the disk."""
+    rows = [(k, prose(4000 + k % 40, 40) + (" other" if k >= 40 else "") + "\n" + prose(k, 25)) for k in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    once = {x["doc_id"]: x["removed"] for x in line_dedup.dedup_lines(df, removed="removed").collect()}
+    written, plans, write = [], [], common.saved
+    keep = lambda df, *codec: plans.append(df._jdf.queryExecution().toString()) or written.append(write(df, *codec)) or written[-1]
+    monkeypatch.setattr(common, "saved", keep)
+    monkeypatch.setattr(line_dedup, "saved", keep)
+    monkeypatch.setattr("quantloom.llm.components.saved", keep)
+    monkeypatch.setattr(line_dedup, "SLICED", 1, raising=False)
+    monkeypatch.setattr(line_dedup, "CELL", 7)
+    assert {x["doc_id"]: x["removed"] for x in line_dedup.dedup_lines(df, removed="removed").collect()} == once
+    assert sum("MapInArrow" in x for x in plans) >= 3 * 9  # every two of three slices, in three rounds
+    left = [x.columns for x in written if os.path.exists(re.sub("^file:/+", "/", x._ql_folders[0]))]
+    assert len(left) < len(written) - 3 * 9 and not any({"line", "key"} & set(c) for c in left)
+
+
 def test_line_dedup_finds_what_edit_similarity_alone_would(spark):
     """No gate here: the share of removals that brute force on edit similarity makes and the operator too."""
     r, texts = random.Random(8), {}

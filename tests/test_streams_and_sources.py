@@ -142,3 +142,26 @@ def test_forest_probabilities_move_the_forecast(rows, tmp_path):
     blend = np.array([shares.get(("T3", x), 0.0) for x in names])
     weight = min(0.9, blend.max())
     assert [moved[x] for x in names] == pytest.approx(list((1 - weight) * chain + weight * blend))
+
+
+def test_trees_on_cells_are_those_on_rows(rows):
+    """Every row is in a cell, none is too heavy, and trees that draw nothing come out as on the rows themselves."""
+    many = models.with_class_weight(rows.unionAll(rows.withColumn("x", F.lit(5.0)).limit(600)).unionAll(rows.limit(1).withColumn("y", F.lit(None).cast("double"))))
+    bins = models.binned(many, ["x", "y"])
+    found = models.cells(many, bins, "target").toPandas()
+    assert found["n"].sum() == many.count() - 1 and found["n"].max() <= max(1.0, many.count() / models.PARTS)
+    assert found["class_weight"].sum() == pytest.approx(many.dropna().agg(F.sum("class_weight")).first()[0])
+    assert found["x_bin"].nunique() <= models.BINS and found["y_bin"].nunique() <= models.BINS
+    setting = {"maxIter": 4, "maxDepth": 3, "subsamplingRate": 1.0}
+    model = models.fitted("boosted", many, ["x", "y"], **setting)
+    plain = models.learner("boosted", ["x_bin", "y_bin"], **setting).fit(bins.transform(many))
+    both = models.probabilities(plain, bins.transform(models.probabilities(model, many, "on_cells")), "on_rows").collect()
+    assert len(both) == many.count() - 1 and max(abs(r["on_cells"] - r["on_rows"]) for r in both) < 1e-9
+    search = models.grid_search(many, ["x", "y"], grid={"maxDepth": (1, 3)}, maxIter=3, subsamplingRate=1.0)
+    folds = models.with_folds(bins.transform(many))
+    own = []
+    for k in range(3):
+        one = models.learner("boosted", ["x_bin", "y_bin"], maxDepth=3, maxIter=3, subsamplingRate=1.0).fit(folds.filter(f"fold <> {k}"))
+        told = one.transform(folds.filter(f"fold = {k} AND y IS NOT NULL")).filter("prediction_boosted = 1")
+        own.append(told.filter("target = 1").count() / told.count())
+    assert search.avgMetrics[1] == pytest.approx(np.mean(own))
